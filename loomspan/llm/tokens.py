@@ -30,6 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions.process import once
 from loomspan.llm import lexicon
 
 #: Folder of the public tokenizers' files, and the vocabulary used.
@@ -171,22 +172,20 @@ def compile_lexicon(documents: DataFrame, ranks: dict[bytes, int], words: int =
     return lexicon.build((w, merge(w, ranks)) for w in (r["word"].encode() for r in top))
 
 
-_OPEN: dict[str, Encoder] = {}
-
-
 def _encoder(name: str, file: bytes, ranks: dict[bytes, int]) -> Encoder:
     """This process's encoder; the lexicon is written once to the executor's own file folder, from
     the broadcast, and memory-mapped by all its workers."""
-    if name not in _OPEN:
+
+    def open_() -> Encoder:
         path = os.path.join(SparkFiles.getRootDirectory(), name)
         if not os.path.exists(path):
             handle, part = tempfile.mkstemp(dir=os.path.dirname(path))
             with os.fdopen(handle, "wb") as f:
                 f.write(file)
             os.replace(part, path)
-        _OPEN.clear()
-        _OPEN[name] = Encoder(ranks, lexicon.Lexicon(path))
-    return _OPEN[name]
+        return Encoder(ranks, lexicon.Lexicon(path))
+
+    return once(name, open_)
 
 
 def _prepared(documents: DataFrame, vocabulary: str):
