@@ -7,15 +7,19 @@ Chosen-path join: in each of RUNS independent runs a set starts on one path and,
 on along each of its tokens t for which a hash of (path, t) is below 1 / (LIKENESS * size).  Two sets
 with the likeness asked for take at least one common step per path on average, so their common paths
 do not die out, while those of unlike sets shrink by a constant factor per step.  Paths of START
-steps are the buckets.  Buckets of up to BRUTE classes are compared within; larger ones are split
-further along the same hashes, as often as it takes; what is still large after MOST steps is compared
-block by block.  A pair at the threshold is missed by all runs with probability below 0.001 for
-sets of equal size (0.004 if one contains the other), and pairs above it far less often; tests measure recall
-against brute force.  Every candidate is then checked exactly on the sets.
+steps are the buckets.  Buckets of up to BRUTE classes are compared within; the members of larger ones
+are split further along the same hashes, as often as it takes; what is still large after MOST steps
+is compared block by block.  A run finds a pair at the threshold with probability 0.50 if the sets
+are of equal size and 0.37 if one contains the other, so all runs miss it with probability 0.00002
+and 0.0006, and pairs above it far less often; tests measure recall against brute force.  Every
+candidate is then checked exactly on the sets.
+
+The texts are read once to give each task its paths and a sketch (about half a kilobyte); the sets
+themselves are made again only for the tasks of a candidate pair that passes the sketches.
 
 Defined results: null names and texts count as empty; tasks with fewer than three words have no
-sequences and are like nothing.  Repeated rows of a task_id count once (the greatest text).  Any
-likeness is exact; equal sets have likeness 1.
+sequences and are like nothing.  Repeated rows of a task_id count once (of different texts under one
+task_id the one with the greatest set hash).  Any likeness is exact; equal sets have likeness 1.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from loomspan.runtime import cut
 
 WORDS = 3
 LIKENESS = 0.65
-RUNS = 20
+RUNS = 16
 START = 3
 BRUTE = 64
 MOST = 12
@@ -59,17 +63,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def sequences(text: str, known: dict[str, int], words: int = WORDS) -> np.ndarray:
     """The distinct word sequences of a text as sorted 64-bit hashes."""
-    found = re.findall(r"\w+", text)
+    # Lowering may add characters that end a word, so only ASCII is lowered as a whole.
+    found = re.findall(r"\w+", text.lower()) if text.isascii() else [w.lower() for w in re.findall(r"\w+", text)]
     if len(found) < words:
         return np.empty(0, dtype=_U)
     if len(known) > 200_000:
         known.clear()
-    codes = np.empty(len(found), dtype=_U)
-    for i, w in enumerate(found):
-        w = w.lower()
-        if (h := known.get(w)) is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w.encode())
-        codes[i] = h
+    for w in found:
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w.encode())
+    codes = np.fromiter(map(known.__getitem__, found), dtype=_U, count=len(found))
     n = len(found) - words + 1
     h = np.zeros(n, dtype=_U)
     for k in range(words):
@@ -82,108 +85,150 @@ def start_paths(runs: int = RUNS) -> np.ndarray:
 
 
 def step(paths: np.ndarray, tokens: np.ndarray, likeness: float = LIKENESS) -> np.ndarray:
-    """One step of a set from its paths along its tokens."""
+    """One step of a set from its paths along its tokens.  Both are mixed already, so one product and
+    shift makes a hash of the two."""
     if not len(paths) or not len(tokens):
         return np.empty(0, dtype=_U)
     bound = _U(min(2**64 - 1, int(2**64 / (likeness * len(tokens)))))
-    hashes = mix(paths[:, None] ^ mix(tokens)[None, :])
+    hashes = (paths[:, None] ^ tokens[None, :]) * _U(0xBF58476D1CE4E5B9)
+    hashes ^= hashes >> _U(32)
     return np.unique(mix(hashes[hashes < bound] + _U(0x632BE59BD9B4E019)))
 
 
 def _seeds() -> np.ndarray:
-    return mix(np.arange(1, SKETCH_BITS + 1, dtype=_U) * _U(0xA0761D6478BD642F))
+    return mix(np.arange(1, SKETCH_BITS + 1, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)
 
 
 def sketch(tokens: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """One bit of the least hash per seed, packed into signed 64-bit words."""
-    least = mix(tokens[:, None] ^ seeds[None, :]).min(axis=0) if len(tokens) else np.zeros(SKETCH_BITS, dtype=_U)
+    """One bit of the least product per seed, packed into signed 64-bit words."""
+    least = (tokens[:, None] * seeds[None, :]).min(axis=0)
     return np.packbits((mix(least) & _U(1)).astype(np.uint8)).view(np.int64)
 
 
-def token_sets(tasks: DataFrame) -> DataFrame:
-    """task_id, set_hash (128 bits), size, sketch, tokens; sets without tokens left out."""
-    one = tasks.select("task_id", F.concat(F.coalesce("task_name", F.lit("")), F.lit(" "), F.coalesce("sql", F.lit(""))).alias("text")).where("task_id is not null")
+def _texts(tasks: DataFrame, key: str) -> DataFrame:
+    text = F.concat(F.coalesce("task_name", F.lit("")), F.lit(" "), F.coalesce("sql", F.lit("")))
+    return tasks.where("task_id is not null").select(F.col("task_id").alias(key), text.alias("text"))
+
+
+def _list(parts: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in parts])], pa.int32()), pa.array(flat, pa.int64()))
+
+
+def signatures(tasks: DataFrame) -> DataFrame:
+    """task_id, set_hash (128 bits), size, sketch and start paths; tasks without sequences left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seeds, starts = {}, _seeds(), start_paths()
+        for batch in batches:
+            rows = []
+            for task, text in zip(batch["task_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                t = sequences(text, known)
+                if len(t):
+                    paths = starts
+                    for _ in range(START):
+                        paths = step(paths, t)
+                    rows.append((task, xxhash.xxh3_128_digest(t.tobytes()), len(t), *sketch(t, seeds).tolist(), paths))
+            ids, hashes, sizes, s1, s2, paths = zip(*rows, strict=True) if rows else ((),) * 6
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _list(list(paths))], names=["task_id", "set_hash", "size", "s1", "s2", "paths"])
+
+    return _texts(tasks, "task_id").mapInArrow(run, "task_id bigint, set_hash binary, size int, s1 bigint, s2 bigint, paths array<bigint>")
+
+
+def token_sets(tasks: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, tokens of the tasks in `ids`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        seeds = _seeds()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids, hashes, sizes, sketches, sets = [], [], [], [], []
-                for task, text in zip(batch["task_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                    t = sequences(text, known)
-                    if len(t):
-                        ids.append(task)
-                        hashes.append(xxhash.xxh3_128_digest(t.tobytes()))
-                        sizes.append(len(t))
-                        sketches.append(sketch(t, seeds))
-                        sets.append(t.view(np.int64))
-                if not ids:
-                    continue
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.concatenate(sets)))
-                s = np.array(sketches)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(s[:, 0]), pa.array(s[:, 1]), lists], names=["task_id", "set_hash", "size", "s1", "s2", "tokens"])
-
-    return one.groupBy("task_id").agg(F.max("text").alias("text")).mapInArrow(run, "task_id bigint, set_hash binary, size int, s1 bigint, s2 bigint, tokens array<bigint>")
-
-
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return column.offsets.to_numpy(), column.values.to_numpy().view(_U)
-
-
-def _paths(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
-    """(id, tokens[, path]) -> (path, id): START steps from the runs' starts, or one step on."""
+        for batch in batches:
+            sets = [sequences(t, known) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["id"], _list(sets)], names=["id", "tokens"])
+
+    return _texts(tasks, "id").join(ids.distinct(), "id", "left_semi").mapInArrow(run, "id bigint, tokens array<bigint>").dropDuplicates(["id"])
+
+
+def _further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, id, text) -> (path, id) one step on."""
+    known: dict[str, int] = {}
     for batch in batches:
-        offsets, values = _lists(batch["tokens"])
+        starts = batch["path"].to_numpy().view(_U)
         ids = batch["id"].to_numpy()
-        at = None if first else batch["path"].to_numpy().view(_U)
-        out_ids, out_paths = [], []
-        for i in range(len(ids)):
-            tokens = values[offsets[i] : offsets[i + 1]]
-            paths = start_paths() if first else at[i : i + 1]
-            for _ in range(START if first else 1):
-                paths = step(paths, tokens)
-            out_ids.append(np.full(len(paths), ids[i]))
-            out_paths.append(paths)
-        if out_ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_paths).view(np.int64)), pa.array(np.concatenate(out_ids), pa.int64())], names=["path", "id"])
-
-
-def _within(frontier: DataFrame, counts: DataFrame) -> DataFrame:
-    """All pairs of buckets of 2..BRUTE members."""
-    small = counts.where(f"count between 2 and {BRUTE}").select("path")
-    members = frontier.join(small, "path").groupBy("path").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    pairs = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice(F.col("ids"), i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return members.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
-
-
-def _blocks(frontier: DataFrame, counts: DataFrame) -> DataFrame:
+        paths = [step(starts[i : i + 1], sequences(t, known)) for i, t in enumerate(batch["text"].to_pylist())]
+        flat = np.concatenate(paths) if paths else np.empty(0, _U)
+        yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(ids, [len(p) for p in paths]), pa.int64())], names=["path", "id"])
+
+
+def _pairs_of(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All pairs within groups of a flat array, groups of one size at a time."""
+    out = []
+    for g in np.unique(sizes[(sizes > 1) & (sizes <= BRUTE)]).tolist():
+        block = np.sort(ids[starts[sizes == g][:, None] + np.arange(g)[None, :]], axis=1)
+        i, j = np.triu_indices(g, 1)
+        out.append(np.stack([block[:, i].ravel(), block[:, j].ravel()], axis=1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, id) sorted by path -> (path null, a, b) for each pair of a small bucket, (path, a, null)
+    for each member of a large one.  A large bucket is passed on as it streams by, never held."""
+    held_p, held_i = np.empty(0, np.int64), np.empty(0, np.int64)
+    large: int | None = None
+
+    def out(pairs: np.ndarray, paths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        n, m = len(pairs), len(ids)
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(paths, pa.int64())]), pa.array(np.r_[pairs[:, 0], ids], pa.int64()), pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(m, pa.int64())])], names=["path", "a", "b"]
+        )
+
+    def close(p: np.ndarray, i: np.ndarray, last: bool) -> pa.RecordBatch:
+        nonlocal held_p, held_i, large
+        if not len(p):
+            return out(np.empty((0, 2), np.int64), p, i)
+        first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        sizes = np.diff(np.r_[first, len(p)])
+        big = (sizes > BRUTE) | (p[first] == large if large is not None else False)
+        keep = not last and not big[-1]
+        large = int(p[-1]) if big[-1] else None
+        if keep:
+            held_p, held_i = p[first[-1] :], i[first[-1] :]
+            first, sizes, big = first[:-1], sizes[:-1], big[:-1]
+        else:
+            held_p, held_i = np.empty(0, np.int64), np.empty(0, np.int64)
+        member = np.repeat(big, sizes)
+        n = len(member)
+        return out(_pairs_of(i, first[~big], sizes[~big]), p[:n][member], i[:n][member])
+
+    for batch in batches:
+        yield close(np.r_[held_p, batch["path"].to_numpy()], np.r_[held_i, batch["id"].to_numpy()], False)
+    yield close(held_p, held_i, True)
+
+
+def _blocks(large: DataFrame) -> DataFrame:
     """All pairs of the buckets that stayed large, block against block."""
+    counts = large.groupBy("path").count()
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    big = frontier.join(counts.where(f"count > {BRUTE}"), "path").select("path", "id", blocks.alias("n"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    big = large.join(counts, "path").select("path", "id", blocks.alias("n"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
     pairs = big.select("path", "id", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
     left = pairs.select("path", F.col("id").alias("a"), F.col("block").alias("i"), F.col("other").alias("j"))
     right = pairs.select("path", F.col("id").alias("b"), F.col("block").alias("j"), F.col("other").alias("i"))
     return left.join(right, ["path", "i", "j"]).where("a < b").select("a", "b")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Distinct pairs of ids that meet in a bucket."""
-    frontier = cut(sets.select("id", "tokens").mapInArrow(lambda it: _paths(it, True), "path bigint, id bigint"))
+def candidates(classes: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Distinct pairs of ids of classes(id, paths) that meet in a bucket."""
+    frontier = classes.select(F.explode("paths").alias("path"), "id")
     found: list[DataFrame] = []
     depth = START
     while True:
-        counts = cut(frontier.groupBy("path").count().where("count > 1"))
-        found.append(cut(_within(frontier, counts).distinct()))
-        large = counts.where(f"count > {BRUTE}")
+        met = cut(frontier.repartition("path").sortWithinPartitions("path").mapInArrow(_buckets, "path bigint, a bigint, b bigint"))
+        found.append(met.where("path is null").select("a", "b"))
+        large = met.where("path is not null").select("path", F.col("a").alias("id"))
         if large.isEmpty():
             break
         if depth >= MOST:
-            found.append(cut(_blocks(frontier, counts).distinct()))
+            found.append(_blocks(large))
             break
-        on = frontier.join(large, "path").select("path", "id").join(sets.select("id", "tokens"), "id").select("id", "tokens", "path")
-        frontier = cut(on.mapInArrow(lambda it: _paths(it, False), "path bigint, id bigint"))
+        frontier = large.join(_texts(tasks, "id").dropDuplicates(["id"]).join(large.select("id").distinct(), "id", "left_semi"), "id").select("path", "id", "text").mapInArrow(_further, "path bigint, id bigint")
         depth += 1
     out = found[0]
     for more in found[1:]:
@@ -197,31 +242,33 @@ def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(common / np.maximum(size, 1))
 
 
-def links(sets: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """a, b, likeness of different sets alike by at least `likeness`: candidates screened by size and
-    sketch, then checked exactly."""
-    light = sets.select("id", "size", "s1", "s2")
-    side = lambda n: light.select(F.col("id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("size", "s1", "s2")))
+def links(classes: DataFrame, tasks: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """a, b, likeness of classes alike by at least `likeness`: candidates screened by size and sketch,
+    then checked exactly on their sets."""
+    side = lambda n: classes.select(F.col("id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("size", "s1", "s2")))
     agree = SKETCH_BITS - F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) - F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-    near = candidates(sets).join(side("a"), "a").join(side("b"), "b").where((F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (likeness - 1e-9)) & (agree >= SKETCH_LEAST)).select("a", "b")
+    near = cut(candidates(classes, tasks).join(side("a"), "a").join(side("b"), "b").where((F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (likeness - 1e-9)) & (agree >= SKETCH_LEAST)).select("a", "b"))
+    sets = token_sets(tasks, near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))))
     full = lambda n: sets.select(F.col("id").alias(n), F.col("tokens").alias(f"t_{n}"))
-    scored = cut(near).join(full("a"), "a").join(full("b"), "b").select("a", "b", F.pandas_udf(_jaccard, "double")("t_a", "t_b").alias("likeness"))
+    scored = near.join(full("a"), "a").join(full("b"), "b").select("a", "b", F.pandas_udf(_jaccard, "double")("t_a", "t_b").alias("likeness"))
     return scored.where(F.col("likeness") >= likeness - 1e-9)
 
 
 def classed(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(task_id, class) and one (id, size, sketch, tokens) per class; the class is its smallest task."""
-    every = cut(token_sets(tasks))
-    first = every.groupBy("set_hash").agg(F.min("task_id").alias("class"), F.count("*").alias("n"))
-    member = cut(every.select("task_id", "set_hash").join(first, "set_hash").select("task_id", "class", "n"))
-    own = every.join(member.where("task_id = class").select("task_id"), "task_id", "left_semi")
+    """(task_id, class, n) and one (id, size, sketch, paths) per class; the class is its smallest task."""
+    every = cut(signatures(tasks))
+    once = every.groupBy("task_id").agg(F.max("set_hash").alias("set_hash"))
+    first = once.groupBy("set_hash").agg(F.min("task_id").alias("class"), F.count("*").alias("n"))
+    several = first.where("n > 1")
+    member = cut(once.join(several, "set_hash", "left").select("task_id", F.coalesce("class", "task_id").alias("class"), F.coalesce("n", F.lit(1)).alias("n")))
+    own = every.join(first.select("set_hash", F.col("class").alias("task_id")), ["task_id", "set_hash"], "left_semi").dropDuplicates(["task_id"])
     return member, own.withColumnRenamed("task_id", "id")
 
 
 def found(tasks: DataFrame) -> DataFrame:
     """p5_found: task_a, task_b, every pair of tasks alike by at least LIKENESS."""
     member, sets = classed(tasks)
-    l = links(sets).select("a", "b")
+    l = links(sets, tasks).select("a", "b")
     of = lambda c, t: member.select(F.col("class").alias(c), F.col("task_id").alias(t))
     across = l.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
     several = member.where("n > 1")
@@ -233,7 +280,7 @@ def groups(tasks: DataFrame) -> DataFrame:
     """One row per task: its class, the class's links to other classes, and its group (the smallest
     task reachable over links)."""
     member, sets = classed(tasks)
-    l = cut(links(sets).select("a", "b"))
+    l = cut(links(sets, tasks).select("a", "b"))
     degree = l.select(F.col("a").alias("class")).unionByName(l.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
     joined = components(l, "a", "b").withColumnRenamed("node", "class")
     return member.join(degree, "class", "left").join(joined, "class", "left").select("task_id", F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "class").alias("group_id"))
