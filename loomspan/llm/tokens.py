@@ -1,7 +1,6 @@
 """Problem 7: the ids a public byte-level BPE tokenizer gives every text.
 
-A first pass counts the words (the tokenizer's own pre-tokens) of all documents, combined in the
-mappers; the LEXICON_WORDS most frequent are merged once and compiled into a minimal acyclic
+A first pass counts the words (pre-tokens) of all documents in the JVM, combined in the mappers; the LEXICON_WORDS most frequent are merged once and compiled into a minimal acyclic
 transducer (lexicon.py).  That file is bounded by LEXICON_WORDS * LEXICON_WORD_BYTES, reaches the
 executors as a broadcast, and is memory-mapped by their workers.  The second pass, a narrow stage,
 splits each text, looks its distinct words up in the transducer a batch at a time, merges the words
@@ -19,11 +18,12 @@ import base64
 import heapq
 import os
 import tempfile
-from collections import Counter
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -46,6 +46,8 @@ CHUNK_CHARS = 2_000_000
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
+JVM_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -100,13 +102,13 @@ class Encoder:
 
     def words_of(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct words, the word numbers of all texts in a row, and each text's count of words."""
-        seen: dict[str, int] = {}
-        rows, counts = [], []
+        seen: dict[str, int] = defaultdict(count().__next__)
+        rows, counts = array("q"), []
         for t in texts:
             found = self.split(t)
             counts.append(len(found))
-            rows += [seen.setdefault(w, len(seen)) for w in found]
-        return list(seen), np.array(rows, dtype=np.int64), np.array(counts, dtype=np.int64)
+            rows.extend(map(seen.__getitem__, found))
+        return list(seen), np.frombuffer(rows, dtype=np.int64), np.array(counts, dtype=np.int64)
 
     def ids_of(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, length and flat ids of distinct words: from the transducer, else merged."""
@@ -149,21 +151,10 @@ class Encoder:
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
-    """How often each word of at most LEXICON_WORD_BYTES occurs, over all documents."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = regex.compile(PATTERN).findall
-        seen: Counter = Counter()
-        for pdf in batches:
-            for t in pdf["text"]:
-                seen.update(split(t))
-            if len(seen) > 50_000:
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                seen.clear()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-
-    per_task = documents.select("text").where("text is not null").mapInPandas(count, "word string, n bigint")
-    return per_task.where(F.octet_length("word") <= LEXICON_WORD_BYTES).groupBy("word").agg(F.sum("n").alias("n"))
+    """How often each word of at most LEXICON_WORD_BYTES occurs, over all documents.  Counted in the
+    JVM; where its idea of a letter differs from the tokenizer's, only the choice of words does."""
+    words = documents.select(F.explode(F.regexp_extract_all("text", F.lit(JVM_PATTERN), F.lit(0))).alias("word"))
+    return words.where(F.octet_length("word") <= LEXICON_WORD_BYTES).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def compile_lexicon(documents: DataFrame, ranks: dict[bytes, int], words: int = LEXICON_WORDS) -> bytes:
