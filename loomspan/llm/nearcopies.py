@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators.components import components
-from loomspan.runtime import cut
+from loomspan.runtime import broadcast_if_small, cut
 
 WORDS = 3
 LIKENESS = 0.65
@@ -136,7 +136,7 @@ def signatures(tasks: DataFrame) -> DataFrame:
 
 
 def token_sets(tasks: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, tokens of the tasks in `ids`."""
+    """id, tokens of the tasks in `ids`, as often as the task is repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -144,7 +144,7 @@ def token_sets(tasks: DataFrame, ids: DataFrame) -> DataFrame:
             sets = [sequences(t, known) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["id"], _list(sets)], names=["id", "tokens"])
 
-    return _texts(tasks, "id").join(ids.distinct(), "id", "left_semi").mapInArrow(run, "id bigint, tokens array<bigint>").dropDuplicates(["id"])
+    return _texts(tasks, "id").join(broadcast_if_small(ids.distinct()), "id", "left_semi").mapInArrow(run, "id bigint, tokens array<bigint>")
 
 
 def _further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,8 @@ def _pairs_of(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
         block = np.sort(ids[starts[sizes == g][:, None] + np.arange(g)[None, :]], axis=1)
         i, j = np.triu_indices(g, 1)
         out.append(np.stack([block[:, i].ravel(), block[:, j].ravel()], axis=1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+    return pairs[pairs[:, 0] < pairs[:, 1]]  # a repeated task is no pair
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +229,7 @@ def candidates(classes: DataFrame, tasks: DataFrame) -> DataFrame:
         if depth >= MOST:
             found.append(_blocks(large))
             break
-        frontier = large.join(_texts(tasks, "id").dropDuplicates(["id"]).join(large.select("id").distinct(), "id", "left_semi"), "id").select("path", "id", "text").mapInArrow(_further, "path bigint, id bigint")
+        frontier = _texts(tasks, "id").join(broadcast_if_small(large), "id").select("path", "id", "text").mapInArrow(_further, "path bigint, id bigint")
         depth += 1
     out = found[0]
     for more in found[1:]:
@@ -250,8 +251,8 @@ def links(classes: DataFrame, tasks: DataFrame, likeness: float = LIKENESS) -> D
     near = cut(candidates(classes, tasks).join(side("a"), "a").join(side("b"), "b").where((F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (likeness - 1e-9)) & (agree >= SKETCH_LEAST)).select("a", "b"))
     sets = token_sets(tasks, near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))))
     full = lambda n: sets.select(F.col("id").alias(n), F.col("tokens").alias(f"t_{n}"))
-    scored = near.join(full("a"), "a").join(full("b"), "b").select("a", "b", F.pandas_udf(_jaccard, "double")("t_a", "t_b").alias("likeness"))
-    return scored.where(F.col("likeness") >= likeness - 1e-9)
+    scored = full("a").join(broadcast_if_small(near), "a").join(full("b"), "b").select("a", "b", F.pandas_udf(_jaccard, "double")("t_a", "t_b").alias("likeness"))
+    return scored.where(F.col("likeness") >= likeness - 1e-9).distinct()
 
 
 def classed(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
