@@ -62,17 +62,20 @@ def stored_lineage(edges: DataFrame) -> DataFrame:
     buckets = buckets_for(edges.count(), BUCKET_EDGES, 8)
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for stmt, own in pdf.sort_values(["stmt_id", "to_scope", "to_column", "edge_ordinal"]).groupby("stmt_id"):
-            columns = []
-            for (scope, name), g in own.groupby(["to_scope", "to_column"], sort=False):
-                for transform, h in g.assign(transform=g["transform"].fillna("DIRECT")).groupby("transform", sort=False):
-                    h = h[h["from_scope"].notna()]
-                    columns.append((scope, name, transform, None, list(zip(h["from_scope"], h["from_column"].fillna(""), strict=True))))
+        # statement -> (scope, column, transform) -> sources, in order
+        found: dict[int, dict[tuple, list]] = {}
+        pdf = pdf.sort_values(["stmt_id", "to_scope", "to_column", "edge_ordinal"], kind="stable")
+        for stmt, scope, name, transform, s, c in zip(*(pdf[x].tolist() for x in ("stmt_id", "to_scope", "to_column", "transform", "from_scope", "from_column")), strict=True):
+            sources = found.setdefault(stmt, {}).setdefault((scope, name, transform or "DIRECT"), [])
+            if s is not None:
+                sources.append((s, c or ""))
+        out: dict[tuple, None] = {}
+        for stmt, own in found.items():
+            columns = [(scope, name, transform, None, sources) for (scope, name, transform), sources in own.items()]
             roots = list(dict.fromkeys(("ROOT", c[1], None) for c in columns if c[0] == "ROOT"))
-            for r in walk.end_to_end(columns, set(own["to_scope"]), roots) if roots else []:
-                out += [(stmt, r["name"], s["scope"], s["column"]) for s in r["sources"]]
-        return pd.DataFrame(out, columns=["stmt_id", "name", "source_table", "source_column"]).drop_duplicates()
+            for r in walk.end_to_end(columns, {c[0] for c in columns}, roots) if roots else []:
+                out.update(dict.fromkeys((stmt, r["name"], s["scope"], s["column"]) for s in r["sources"]))
+        return pd.DataFrame(list(out), columns=["stmt_id", "name", "source_table", "source_column"])
 
     return once.where("stmt_id is not null").groupBy(F.pmod(F.xxhash64("stmt_id"), F.lit(buckets)).alias("bucket")).applyInPandas(trace, "stmt_id bigint, name string, source_table string, source_column string")
 

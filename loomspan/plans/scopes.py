@@ -233,6 +233,8 @@ class Analysis:
         if r.what == "group":
             out = [x for j in r.inner for x in self.joined(j, ctx, env)]
             return out
+        if r.what == "query" and r.query.body.kind == "values" and not (r.query.ctes or r.query.order or r.query.limit):
+            r.what, r.values = "values", r.query.body
         if r.what == "query":
             alias = r.alias or f"derived_{self.derived}"
             if not r.alias:

@@ -449,6 +449,8 @@ class Parser:
         elif self.peek() == "values":
             n.what, n.values = "values", self.values()
         else:
+            if not self.is_name() and self.peek() in _STOP:
+                raise SqlError(f"expected a relation at {self.here()}, found {self.peek()!r}")
             parts = self.dotted()
             if self.peek() == "(":
                 self.i += 1

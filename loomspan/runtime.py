@@ -41,3 +41,9 @@ def buckets_for(rows: int, per_bucket: int, least: int = 1) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def once_per_row(df: DataFrame, name: str, value) -> DataFrame:
+    """Adds a column that is computed once for each row.  Behind a generator the optimiser cannot
+    paste the expression into every place that reads it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
