@@ -35,7 +35,9 @@ CELLS = "statement string, path string, kind string, field string"
 
 def one_row_per_key(side: DataFrame) -> DataFrame:
     version = F.struct("written_at", *FIELDS)
-    return side.groupBy(*KEY).agg(F.max(version).alias("v")).select(*KEY, *(F.col(f"v.{c}").alias(c) for c in FIELDS))
+    # The keys are named anew: a table compared with itself would else give both sides the same columns.
+    named = side.select(*(F.col(k).alias(k) for k in KEY), version.alias("version"))
+    return named.groupBy(*KEY).agg(F.max("version").alias("v")).select(*KEY, *(F.col(f"v.{c}").alias(c) for c in FIELDS))
 
 
 def _keys(t: pa.Table) -> np.ndarray:
@@ -70,7 +72,12 @@ def _same_json(a: str | None, b: str | None) -> bool:
     return ok_a and ok_b and jsontext.comparable(x) == jsontext.comparable(y)
 
 
+_SIDE = pa.schema([("statement", pa.string()), ("path", pa.string()), ("severity", pa.string()), ("root_cols", pa.int32()), ("body", pa.string())])
+
+
 def compare_bucket(left: pa.Table, right: pa.Table) -> pa.Table:
+    # A side without rows in a bucket comes without these columns.
+    left, right = (t if "statement" in t.column_names else _SIDE.empty_table() for t in (left, right))
     la, ra, lonly, ronly = _align(_keys(left), _keys(right))
     rows: list[pa.Table] = []
 
