@@ -154,4 +154,4 @@ def containers(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def summary(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Containers used, the least number that could hold the tokens, and the share filled."""
     c = containers(documents, capacity).agg(F.count("*").alias("n_containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("n_items"), F.lit(0)).alias("n_items"))
-    return c.select("*", F.ceil(F.col("n_tokens") / capacity).alias("least_possible"), (F.col("n_tokens") / (F.col("n_containers") * capacity)).alias("fill"))
+    return c.select("*", F.ceil(F.col("n_tokens") / capacity).alias("least_possible"), F.try_divide("n_tokens", F.col("n_containers") * capacity).alias("fill"))
