@@ -5,9 +5,9 @@ the size of its subtree; nodes on a cycle, or whose way up leads into one, are r
 and depth -1.
 
 Bottom-up leaf peeling: every round takes the nodes no unpeeled node hangs under, and sends their
-descendant lists and subtree sizes to their parents.  What no round takes lies on a cycle.  The
-reverse of the peel order then gives roots, depths and paths from the parents down; what hangs under
-a cycle is never reached that way and is reported with it.
+descendant lists and subtree sizes to their parents.  What no round takes lies on a
+cycle or above one.  The reverse of the peel order then gives roots, depths and paths from the
+parents down; what hangs under a cycle is never reached that way and is reported with it.
 
 A tree never leaves its group (statement), so groups are packed by hash into buckets of bounded size
 and each bucket is peeled in one task, all its trees at once, with numpy.  A group with more than
@@ -75,42 +75,64 @@ def peel(group: np.ndarray, child: np.ndarray, parent: np.ndarray, lists: bool)
     first = np.r_[True, c[1:] != c[:-1]] if len(c) else np.empty(0, bool)
     up[c[first]] = p[first]  # nodes are sorted by text, so this is the smallest parent
 
-    below = np.bincount(p, minlength=m)  # links to nodes not yet peeled
-    by_child = np.argsort(c, kind="stable")
-    start = np.searchsorted(c[by_child], np.arange(m + 1))
-    size = np.zeros(m, dtype=np.int64)
-    kin: list[list] = [[] for _ in range(m)] if lists else []
-    peeled: list[np.ndarray] = []
+    def spans(key: np.ndarray, other: np.ndarray):
+        """For nodes, the other ends of their links by `key`: (ends, how many each)."""
+        by = np.argsort(key, kind="stable")
+        start = np.searchsorted(key[by], np.arange(m + 1))
+
+        def of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            counts = start[v + 1] - start[v]
+            at = np.repeat(start[v], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            return other[by[at]], counts
+
+        return of
+
+    parents, children = spans(c, p), spans(p, c)
+    # Up: waves of nodes that nothing unpeeled hangs under.
+    below = np.bincount(p, minlength=m)
+    waves: list[np.ndarray] = []
     ready = np.flatnonzero(below == 0)
     while len(ready):
-        peeled.append(ready)
-        if lists:
-            for v in ready.tolist():
-                if up[v] >= 0:
-                    kin[up[v]].append(v)
-                    kin[up[v]].extend(kin[v])
-        hung = ready[up[ready] >= 0]
-        np.add.at(size, up[hung], size[hung] + 1)
-        counts = start[ready + 1] - start[ready]
-        at = np.repeat(start[ready], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        to = p[by_child[at]]
+        waves.append(ready)
+        to = parents(ready)[0]
         np.subtract.at(below, to, 1)
         ready = np.unique(to[below[to] == 0])
-    order = np.concatenate(peeled)[::-1] if peeled else np.empty(0, int)
-    # Down again: a node is placed once its parents are; what was never peeled lies above or on a cycle.
+    # What is left lies on a cycle or above one; from the top, what is not on it can still be placed.
+    left = np.ones(m, dtype=bool)
+    for wave in waves:
+        left[wave] = False
+    above = np.bincount(c, minlength=m)
+    down: list[np.ndarray] = []
+    ready = np.flatnonzero(left & (above == 0))
+    while len(ready):
+        down.append(ready)
+        to = children(ready)[0]
+        to = to[left[to]]
+        np.subtract.at(above, to, 1)
+        ready = np.unique(to[above[to] == 0])
+    # Down: a node is placed once its parents are, unless one of them leads into a cycle.
     root, depth = np.full(m, -1), np.full(m, -1)
-    bad = np.ones(m, dtype=bool)
-    bad[order] = False
-    for wave in peeled[::-1]:
-        counts = start[wave + 1] - start[wave]
-        at = np.repeat(start[wave], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        led = np.repeat(wave, counts)
-        np.logical_or.at(bad, led, bad[p[by_child[at]]])
-        top = up[wave] < 0
-        ok = ~bad[wave]
-        root[wave[top & ok]], depth[wave[top & ok]] = wave[top & ok], 0
-        rest = wave[~top & ok]
+    bad = left.copy()
+    for wave in down:
+        bad[wave] = False
+    for wave in [*down, *waves[::-1]]:
+        to, counts = parents(wave)
+        np.logical_or.at(bad, np.repeat(wave, counts), bad[to])
+        good = wave[~bad[wave]]
+        top, rest = good[up[good] < 0], good[up[good] >= 0]
+        root[top], depth[top] = top, 0
         root[rest], depth[rest] = root[up[rest]], depth[up[rest]] + 1
+    # In peel order, descendant lists and subtree sizes go to the parents.
+    size = np.zeros(m, dtype=np.int64)
+    kin: list[list] = [[] for _ in range(m)] if lists else []
+    for wave in [*waves, *down[::-1]]:
+        hung = wave[~bad[wave] & (up[wave] >= 0)]
+        np.add.at(size, up[hung], size[hung] + 1)
+        if lists:
+            for v in hung.tolist():
+                kin[up[v]].append(v)
+                kin[up[v]].extend(kin[v])
+    order = np.concatenate([*down, *waves[::-1]]) if m else np.empty(0, int)
     text = nodes["t"].to_numpy(dtype=object)
     none = np.array([None], dtype=object)
     pick = lambda ix: np.where(ix >= 0, text[ix] if m else text, none) if m else text
@@ -170,17 +192,22 @@ def _spread(links: DataFrame, keys: list[str], lists: bool) -> DataFrame:
         reach *= 2
         if not state.where("not done").limit(1).count():
             break
-    # Several parents: the text's smallest carries the path, but any of them can lead into a cycle.
     bad = state.where("not done").select(*keys, "node")
-    several = cut(every.where("parent is not null").distinct())
-    known = bad.count()
-    while known:
-        led = several.alias("e").join(bad.alias("b"), [*(F.col(f"e.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys), F.col("e.parent") == F.col("b.node")]).select(*(F.col(f"e.{k}").alias(k) for k in keys), F.col("e.node").alias("node"))
-        bad = cut(bad.unionByName(led).distinct())
-        now = bad.count()
-        if now == known:
-            break
-        known = now
+    several = every.where("parent is not null").distinct()
+    if not several.groupBy(*keys, "node").count().where("count > 1").isEmpty():
+        # A node with several parents leads into a cycle if any of them does: from the top, a node is
+        # placed once none of its parents is open, a round a level.
+        open_, wave = cut(several), first.where("parent is null").select(*keys, "node")
+        done = wave
+        while not wave.isEmpty():
+            gone = wave.select(*(F.col(k).alias(f"w_{k}") for k in keys), F.col("node").alias("w_node"))
+            on = [*(F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in keys), F.col("parent") == F.col("w_node")]
+            freed = open_.join(gone, on, "left_semi").select(*keys, "node").distinct()
+            open_ = cut(open_.join(gone, on, "left_anti"))
+            still = open_.select(*(F.col(k).alias(f"w_{k}") for k in keys), F.col("node").alias("w_node")).distinct()
+            wave = cut(freed.join(still, [*(F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in keys), F.col("node") == F.col("w_node")], "left_anti"))
+            done = cut(done.unionByName(wave))
+        bad = first.select(*keys, "node").exceptAll(done)
     flagged = bad.withColumn("bad", F.lit(True))
     same = lambda a, b: [*(F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys), F.col(f"{a}.node") == F.col(f"{b}.node")]
     placed = state.alias("s").join(flagged.alias("f"), same("s", "f"), "left").select(*(F.col(f"s.{k}").alias(k) for k in keys), "s.node", F.when(F.col("f.bad"), "").otherwise(F.col("s.up")).alias("root"), F.when(F.col("f.bad"), -1).otherwise(F.col("s.depth")).alias("depth"))
