@@ -23,6 +23,7 @@ from loomspan.operators import nested
 from loomspan.plans import scopes as plan
 from loomspan.plans import sqlparse
 from loomspan.plans import trace as walk
+from loomspan.runtime import spread
 
 #: Largest catalogue, in columns, that is shipped to every task.
 CATALOG_COLUMNS = 500_000
@@ -56,7 +57,7 @@ def _lookup(columns: dict[str, list[str]]):
 def analyze(tasks: DataFrame, catalog: DataFrame | None = None, task: str = "task_name", sql: str = "sql") -> DataFrame:
     """One row per statement of every task (null texts are tasks without statements).  `catalog` has
     table_key, name and ordinal; the first spelling of a name in order counts."""
-    source = tasks.select(F.col(task).cast("string").alias("task_id"), F.col(sql).alias("sql"))
+    source = spread(tasks).select(F.col(task).cast("string").alias("task_id"), F.col(sql).alias("sql"))
     known: dict[str, list[str]] | None = None
     if catalog is not None:
         per_table = catalog.select(table_name("table_key").alias("t"), F.lower("name").alias("c"), "ordinal").where("t is not null and c is not null").groupBy("t", "c").agg(F.min("ordinal").alias("o")).groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "c"))), lambda x: x["c"]).alias("cs"))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.functions import jsontext
+from loomspan.runtime import spread
 
 #: tag -> scalar members kept in the payload, in order.
 TABLES = {
@@ -86,7 +87,7 @@ def latest_readable(deliveries: DataFrame) -> DataFrame:
     """One payload per stmt_id; rows whose stmt_id is null or that cannot be read are left out."""
     readable = F.pandas_udf(_readable, "boolean")
     return (
-        deliveries.select("stmt_id", "received_at", "payload")
+        spread(deliveries.select("stmt_id", "received_at", "payload"))
         .where("stmt_id is not null and payload is not null")
         .where(readable("payload"))
         .groupBy("stmt_id")

@@ -47,3 +47,17 @@ def once_per_row(df: DataFrame, name: str, value) -> DataFrame:
     """Adds a column that is computed once for each row.  Behind a generator the optimiser cannot
     paste the expression into every place that reads it."""
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+#: Below this many bytes a core, an input of few files is dealt out before costly Python stages.
+SPREAD_BYTES = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input, often one file of one row group, dealt out over all cores; others as they are.
+    Decided from the plan's size alone, so nothing is run and no large input is ever shuffled."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
