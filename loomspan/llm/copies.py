@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import jsontext
-from loomspan.runtime import broadcast_if_small, cut
+from loomspan.runtime import broadcast_if_small, cut, spread
 
 #: Groups of more copies than this are matched by broadcast; there are at most rows / HOT of them.
 HOT = 100_000
@@ -54,7 +54,7 @@ def hashed(files: DataFrame) -> DataFrame:
             columns = list(zip(*digests, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], names=["file_id", "h1", "h2", "check"])
 
-    return files.select("file_id", "body").where("file_id is not null and body is not null").mapInArrow(run, _HASHED)
+    return spread(files.select("file_id", "body")).where("file_id is not null and body is not null").mapInArrow(run, _HASHED)
 
 
 def groups(rows: DataFrame) -> DataFrame:

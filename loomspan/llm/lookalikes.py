@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.process import once
-from loomspan.runtime import cut
+from loomspan.runtime import cut, spread
 
 # Letters of other alphabets drawn like Latin ones, and signs drawn like others, each
 # followed by what it becomes.
@@ -137,7 +137,7 @@ def canonical_texts(documents: DataFrame) -> DataFrame:
         for s in batches:
             yield pd.Series([None if t is None else form(t) for t in s], dtype=object)
 
-    return documents.select("doc_id", F.pandas_udf(run, "string")("text").alias("canonical"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", F.pandas_udf(run, "string")("text").alias("canonical"))
 
 
 def hashed(documents: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def hashed(documents: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["doc_id", "look", "own"])
 
-    return documents.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, look binary, own binary")
+    return spread(documents.select("doc_id", "text")).where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, look binary, own binary")
 
 
 def classes(rows: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators.components import components
-from loomspan.runtime import broadcast_if_small, cut
+from loomspan.runtime import broadcast_if_small, cut, spread
 
 WORDS = 3
 LIKENESS = 0.65
@@ -132,7 +132,7 @@ def signatures(tasks: DataFrame) -> DataFrame:
             ids, hashes, sizes, s1, s2, paths = zip(*rows, strict=True) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _list(list(paths))], names=["task_id", "set_hash", "size", "s1", "s2", "paths"])
 
-    return _texts(tasks, "task_id").mapInArrow(run, "task_id bigint, set_hash binary, size int, s1 bigint, s2 bigint, paths array<bigint>")
+    return spread(_texts(tasks, "task_id")).mapInArrow(run, "task_id bigint, set_hash binary, size int, s1 bigint, s2 bigint, paths array<bigint>")
 
 
 def token_sets(tasks: DataFrame, ids: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.process import once
 from loomspan.llm import lexicon
+from loomspan.runtime import spread
 
 #: Folder of the public tokenizers' files, and the vocabulary used.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -153,7 +154,7 @@ class Encoder:
 def word_counts(documents: DataFrame) -> DataFrame:
     """How often each word of at most LEXICON_WORD_BYTES occurs, over all documents.  Counted in the
     JVM; where its idea of a letter differs from the tokenizer's, only the choice of words does."""
-    words = documents.select(F.explode(F.regexp_extract_all("text", F.lit(JVM_PATTERN), F.lit(0))).alias("word"))
+    words = spread(documents.select("text")).select(F.explode(F.regexp_extract_all("text", F.lit(JVM_PATTERN), F.lit(0))).alias("word"))
     return words.where(F.octet_length("word") <= LEXICON_WORD_BYTES).groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -201,7 +202,7 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(texts)), lists], names=["doc_id", "ids"])
                 at += len(texts)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -214,7 +215,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             sizes = [e.sizes(texts) for texts in e.chunks(batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.concatenate(sizes) if sizes else [], pa.int64())], names=["doc_id", "n_tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, n_tokens bigint")
 
 
 def token_summary(documents: DataFrame) -> DataFrame:
