@@ -44,6 +44,7 @@ QUERIES = {
     "task_warnings": _tasks(lambda a: lineage.warning_facts(a).groupBy("type").agg(F.count("*").alias("n_warnings"))),
     "task_end_to_end": _tasks(lineage.end_to_end),
     "task_column_usage": _tasks(impact.column_usage),
+    "task_traces": _tasks(lambda a: impact.traces(a, "ROOT")),
     "task_downstream": _tasks(lambda a: impact.downstream(a, "dwd_core.account_day", "account_id")),
     "task_impact_reach": _tasks(lambda a: impact.reachable((l := impact.task_links(a)), l.where("from_table = 'dwd_core.account_day'").select(F.col("from_table").alias("table_name"), F.col("from_column").alias("column_name")))),
     "task_severity": _tasks(lambda a: audit.severity_counts(audit.audit(a))),
@@ -107,7 +108,7 @@ SQL = {
     + _SCOPE_FLAGS
     + """SELECT kind, CASE WHEN kind IN ('union', 'union_branch') THEN kind WHEN coalesce(win, false) THEN 'dedup' WHEN coalesce(agg, false) OR g > 0 THEN 'aggregate' WHEN j > 0 THEN 'join' WHEN f > 0 THEN 'filter'
   WHEN coalesce(con, false) THEN 'label' WHEN coalesce(dir, false) THEN 'pass_through' ELSE 'transform' END AS role, count(*) AS n_scopes FROM sized GROUP BY ALL""",
-    "docs_transform_counts": _OBJ + f" SELECT json_extract_string(c, '$.transform') AS transform, count(*) AS n_columns, sum(len({_list('$.sources')})) AS n_sources FROM c GROUP BY ALL",
+    "docs_transform_counts": _OBJ + f" SELECT json_extract_string(c, '$.transform') AS transform, count(*) AS n_columns, CAST(sum(len({_list('$.sources')})) AS BIGINT) AS n_sources FROM c GROUP BY ALL",
     "docs_case_branches": _OBJ
     + f""", b AS (SELECT stmt_id, scope_id, json_extract_string(c, '$.name') AS name, unnest(range(len({_list('$.case_branches')}))) AS branch_no, unnest({_list('$.case_branches')}) AS x FROM c)
 SELECT CAST(stmt_id AS VARCHAR) AS stmt, scope_id, name, CAST(branch_no AS INT) AS branch_no, coalesce(json_extract_string(x, '$.when_expr'), '') AS when_expr, coalesce(json_extract_string(x, '$.then_value'), '') AS then_value FROM b""",

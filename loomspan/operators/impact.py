@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +52,28 @@ def reachable(links: DataFrame, starts: DataFrame) -> DataFrame:
         seen = cut(seen.unionByName(wave))
 
 
+def traces(a: DataFrame, scope: str | None = None) -> DataFrame:
+    """The leaves of every column of every scope (or of one scope), constants and system values
+    kept, and how many columns were visited on the way: stmt, scope_id, name, leaf_scope, leaf_column,
+    transform, n_visited.  Narrow: each statement is walked where it lies."""
+    names = ("stmt", "scope_id", "name", "leaf_scope", "leaf_column", "transform", "n_visited")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 6 + [pa.int32()]
+        for batch in batches:
+            rows = []
+            for stmt, own in zip(batch["stmt"].to_pylist(), batch["scopes"].to_pylist(), strict=True):
+                columns = lineage.flat_columns({"scopes": own})
+                ids = {s["scope_id"] for s in own}
+                for at, name in dict.fromkeys((c[0], c[1]) for c in columns if scope is None or c[0] == scope):
+                    visited = walk.upstream(columns, ids, at, name)["path_length"]
+                    rows += [(stmt, at, name, *leaf, visited) for leaf in dict.fromkeys(walk.to_physical(columns, ids, at, name))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=list(names))
+
+    slim = F.transform("scopes", lambda s: F.struct(s["scope_id"].alias("scope_id"), F.transform(s["columns"], lambda c: F.struct(*(c[m].alias(m) for m in ("name", "transform", "merge_branch", "sources")))).alias("columns")))
+    return a.where("status = 'ok'").select("stmt", slim.alias("scopes")).mapInArrow(run, "stmt string, scope_id string, name string, leaf_scope string, leaf_column string, transform string, n_visited int")
+
+
 def table_impact(a: DataFrame) -> DataFrame:
     """Per source table: statements and targets it feeds."""
     t = a.where("status = 'ok'").select("stmt", "target_table", F.explode("source_tables").alias("source_table"))

@@ -11,13 +11,13 @@ SQL = {
     "exec_join_aggregate": """SELECT c.c_mktsegment, count(*) AS n_orders, round(sum(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus = 'F' GROUP BY c.c_mktsegment""",
     "exec_join_outer": """SELECT n.n_name, r.r_name, count(s.s_suppkey) AS n_suppliers FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name, r.r_name""",
     "exec_semi_anti": """SELECT c_mktsegment, count(*) AS n FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000) AND c.c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') GROUP BY c_mktsegment""",
-    "exec_window_rank": """SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn <= 2""",
+    "exec_window_rank": """SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rn FROM orders) t WHERE rn <= 2""",
     "exec_window_frame": """SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n_recent, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders""",
     "exec_rollup": """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
     "exec_cube": """SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""",
     "exec_setops": """SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier UNION ALL SELECT n_nationkey FROM nation EXCEPT SELECT r_regionkey FROM region""",
     "exec_union_distinct": """SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier""",
-    "exec_case_aggregate": """SELECT l_returnflag, sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS n_discounted, count(DISTINCT l_suppkey) AS n_suppliers, max(l_shipdate) AS last_shipped FROM lineitem GROUP BY l_returnflag HAVING count(*) > 10""",
+    "exec_case_aggregate": """SELECT l_returnflag, CAST(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS n_discounted, count(DISTINCT l_suppkey) AS n_suppliers, max(l_shipdate) AS last_shipped FROM lineitem GROUP BY l_returnflag HAVING count(*) > 10""",
     "exec_cte_chain": """WITH big AS (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 150), named AS (SELECT o.o_custkey, b.q FROM big b JOIN orders o ON o.o_orderkey = b.l_orderkey) SELECT c.c_name, count(*) AS n, round(sum(n.q), 2) AS q FROM named n JOIN customer c ON c.c_custkey = n.o_custkey GROUP BY c.c_name""",
     "exec_scalar_subquery": """SELECT p_brand, count(*) AS n FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part) GROUP BY p_brand""",
     "exec_range_join": """SELECT a.n_name AS name, count(*) AS n FROM nation a JOIN nation b ON b.n_nationkey BETWEEN a.n_nationkey AND a.n_nationkey + 3 GROUP BY a.n_name""",

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.operators import insight, lineage
+from loomspan.operators import impact, insight, lineage
 from loomspan.sources.readers import parquet_schemas
 
 STATEMENTS = {
@@ -62,6 +62,7 @@ QUERIES = {
     "merge_columns": _on(lambda a: lineage.edge_facts(a).where("merge_branch is not null").select("stmt", "to_column", "merge_branch", "from_scope", "from_column", "transform")),
     "lateral_view_facts": _on(lambda a: lineage.generator_facts(a).select("stmt", "scope_id", "function", "output_columns")),
     "leaf_constant_system": _on(lambda a: lineage.edge_facts(a).where("stmt = 'g08'").select("to_column", "transform", "from_scope", "from_column")),
+    "trace_leaves": _on(lambda a: impact.traces(a, "ROOT").where("stmt in ('g01', 'g08', 'g10')").drop("scope_id")),
     "multi_statement": _on(lambda a: lineage.statements(a).where("task_id = 'g12'").select("stmt", "status", F.coalesce("target_table", F.lit("")).alias("target_table"), F.concat_ws(",", "partition_columns").alias("partition_columns"))),
     "warnings_by_type": _on(lambda a: lineage.warning_facts(a).groupBy("stmt", "type").agg(F.count("*").alias("n"))),
     "dangling_scopes": _on(lambda a: insight.dangling_scopes(a).select("stmt", "scope_id", "is_subquery_of")),
@@ -167,6 +168,13 @@ SQL = {
         "to_column, transform, from_scope, from_column",
         "('five', 'CONSTANT', 'CONSTANT', '5'), ('d', 'EXPRESSION', 'SYSTEM', 'current_date'), ('n', 'AGGREGATE', 'region', '*'), ('ab', 'EXPRESSION', 'CONSTANT', 'concat(''a'', ''b'')')",
     ),
+    "trace_leaves": _values(
+        "stmt, name, leaf_scope, leaf_column, transform, n_visited",
+        """
+('g01', 'c_name', 'customer', 'c_name', 'DIRECT', 2), ('g01', 'total', 'orders', 'o_totalprice', 'AGGREGATE', 3), ('g08', 'five', 'CONSTANT', '5', 'CONSTANT', 2), ('g08', 'd', 'SYSTEM', 'current_date', 'EXPRESSION', 2),
+('g08', 'n', 'region', '*', 'AGGREGATE', 2), ('g08', 'ab', 'CONSTANT', 'concat(\'\'a\'\', \'\'b\'\')', 'EXPRESSION', 2), ('g10', 'a', 'CONSTANT', '1', 'DIRECT', 3), ('g10', 'b', 'CONSTANT', '\'\'x\'\'', 'DIRECT', 3)
+""",
+    ),
     "multi_statement": _values("stmt, status, target_table, partition_columns", "('g12#0', 'ok', 'mart.a1', ''), ('g12#1', 'error', '', ''), ('g12#2', 'ok', 'mart.a3', 'dt')"),
     "warnings_by_type": _values(
         "stmt, type, n",
