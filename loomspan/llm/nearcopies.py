@@ -48,6 +48,8 @@ MOST = 12
 SKETCH_BITS = 128
 SKETCH_LEAST = 82
 BLOCK = 256
+#: Tokens of a set worked on at once, so that a very long text needs no more memory than others.
+CHUNK = 8192
 
 _U = np.uint64
 
@@ -90,9 +92,12 @@ def step(paths: np.ndarray, tokens: np.ndarray, likeness: float = LIKENESS) -> n
     if not len(paths) or not len(tokens):
         return np.empty(0, dtype=_U)
     bound = _U(min(2**64 - 1, int(2**64 / (likeness * len(tokens)))))
-    hashes = (paths[:, None] ^ tokens[None, :]) * _U(0xBF58476D1CE4E5B9)
-    hashes ^= hashes >> _U(32)
-    return np.unique(mix(hashes[hashes < bound] + _U(0x632BE59BD9B4E019)))
+    kept = []
+    for at in range(0, len(tokens), CHUNK):
+        hashes = (paths[:, None] ^ tokens[None, at : at + CHUNK]) * _U(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> _U(32)
+        kept.append(hashes[hashes < bound])
+    return np.unique(mix(np.concatenate(kept) + _U(0x632BE59BD9B4E019)))
 
 
 def _seeds() -> np.ndarray:
@@ -101,7 +106,7 @@ def _seeds() -> np.ndarray:
 
 def sketch(tokens: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """One bit of the least product per seed, packed into signed 64-bit words."""
-    least = (tokens[:, None] * seeds[None, :]).min(axis=0)
+    least = np.min([(tokens[at : at + CHUNK, None] * seeds[None, :]).min(axis=0) for at in range(0, len(tokens), CHUNK)], axis=0)
     return np.packbits((mix(least) & _U(1)).astype(np.uint8)).view(np.int64)
 
 

@@ -106,3 +106,9 @@ def test_buckets_across_batches():
         out = [x for b in nc._buckets(batches(n)) for x in zip(*(b[c].to_pylist() for c in ("path", "a", "b")), strict=True)]
         assert {(a, b) for p, a, b in out if p is None} == pairs
         assert {(p, a) for p, a, b in out if p is not None} == large
+
+
+def test_very_long_text_in_chunks(spark):
+    words = [f"q{i}" for i in range(60_000)]
+    rows = [(1, "t", " ".join(words)), (2, "t", " ".join(words[:50_000])), (3, "t", " ".join(words[:20_000])), (4, "t", "a b c d e")]
+    assert run(spark, rows) == brute(rows) == {(1, 2)}
