@@ -112,3 +112,17 @@ def test_very_long_text_in_chunks(spark):
     words = [f"q{i}" for i in range(60_000)]
     rows = [(1, "t", " ".join(words)), (2, "t", " ".join(words[:50_000])), (3, "t", " ".join(words[:20_000])), (4, "t", "a b c d e")]
     assert run(spark, rows) == brute(rows) == {(1, 2)}
+
+
+def test_contained_variants_of_one_template(spark):
+    r = random.Random(2)
+    words = [f"w2x{i}" for i in range(150)]
+    spans = set()
+    while len(spans) < 400:
+        a, b = sorted(r.sample(range(151), 2))
+        if b - a >= 60:
+            spans.add((a, b))
+    rows = [(i, "", " ".join(words[a:b])) for i, (a, b) in enumerate(sorted(spans))]
+    want, got = brute(rows), run(spark, rows)
+    assert got <= want
+    assert len(got) >= 0.999 * len(want) > 10_000
