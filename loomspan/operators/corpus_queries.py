@@ -58,6 +58,19 @@ QUERIES = {
     "task_flat_lineage": _tasks(insight.flat_lineage),
     "task_equi_keys": _tasks(insight.equi_join_keys),
     "task_input_metadata": lambda s, d: lineage.input_metadata(lineage.analyze(table(s, d, "tasks"), (c := table(s, d, "catalog_columns"))), c),
+    "task_output_metadata": lambda s, d: lineage.output_metadata(lineage.analyze(table(s, d, "tasks"), (c := table(s, d, "catalog_columns"))), c),
+    "task_scopes": _tasks(lineage.scope_facts),
+    "task_graph": _tasks(lineage.graph_edges),
+    "task_edges": _tasks(lineage.edge_facts),
+    "task_joins": _tasks(lineage.join_facts),
+    "task_filters": _tasks(lineage.filter_facts),
+    "task_groupings": _tasks(lineage.grouping_facts),
+    "task_windows": _tasks(lineage.window_facts),
+    "task_cases": _tasks(lineage.case_facts),
+    "task_generators": _tasks(lineage.generator_facts),
+    "task_stats": _tasks(lineage.stats),
+    "task_xref_errors": _tasks(lineage.cross_reference_errors),
+    "task_dangling_scopes": _tasks(insight.dangling_scopes),
     # Stored edges, audits, outputs, files and catalogues.
     "edges_end_to_end": _on(impact.stored_lineage, "column_edges"),
     "edges_table_usage": _on(impact.stored_usage, "column_edges"),
