@@ -159,21 +159,22 @@ def document_record(stmt: str, d: dict) -> dict:
 
 
 def _with_schema(source: DataFrame, per_table: DataFrame) -> DataFrame:
-    """Each task with the catalogue entries of the tables it names, for catalogues too large to ship."""
+    """Each task with the catalogue entries of the tables it names, for catalogues too large to ship.
+    Rows are matched by a hash of their text, which alone decides what a task names; a task_id may be null or repeated."""
+    keyed = source.withColumn("text", F.sha2("sql", 256))
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, seen = [], []
-            for name, text in zip(batch["task_id"].to_pylist(), batch["sql"].to_pylist(), strict=True):
-                for a, b in sqlparse.split(text or ""):
-                    words = {m for m in sqlparse._TOKEN.sub(lambda m: " " if m.lastgroup == "space" else m[0], text[a:b]).replace("`", "").lower().split() if "." in m}
-                    for t in {py_table_name(w.strip("(),;")) for w in words}:
-                        names.append(name)
-                        seen.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(seen, pa.string())], names=["task_id", "t"])
-
-    used = source.mapInArrow(tables, "task_id string, t string").distinct().join(per_table, "t").groupBy("task_id").agg(F.collect_list(F.struct("t", "cs")).alias("known"))
-    return source.join(used, "task_id", "left")
+            texts, seen = [], []
+            for key, text in zip(batch["text"].to_pylist(), batch["sql"].to_pylist(), strict=True):
+                for t in sqlparse.names(text):
+                    texts.append(key)
+                    seen.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(seen, pa.string())], names=["text", "t"])
+
+    named = keyed.where("sql is not null").select("text", "sql").mapInArrow(tables, "text string, t string").distinct()
+    used = named.join(per_table, "t").groupBy("text").agg(F.collect_list(F.struct("t", "cs")).alias("known"))
+    return keyed.join(used, "text", "left").drop("text")
 
 
 # -- fact tables --------------------------------------------------------------------------------------

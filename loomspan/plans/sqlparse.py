@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 
+from loomspan.functions.names import py_table_name
+
 # Words that end a clause and so cannot be an alias without AS.
 _STOP = frozenset(
     """from where group having order limit union except minus intersect on using join inner left right full cross natural lateral window
@@ -66,6 +68,32 @@ def split(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in spans if re.sub(r"--[^\n]*|/\*.*?\*/", "", text[a:b], flags=re.DOTALL).strip()]
 
 
+def names(text: str) -> set[str]:
+    """Every name of a text that may be a table's, qualified or not, in compared form: the longest runs of names
+    joined by dots, read from the tokens as the parser does."""
+    out, parts, dot, at = set(), [], False, 0
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        kind, value, at = (m.lastgroup, m[0], m.end()) if m else ("", "", at + 1)
+        if kind == "space":
+            continue
+        if kind in ("word", "quoted"):
+            if not dot and parts:
+                out.add(".".join(parts))
+                parts = []
+            parts.append(value.lower() if kind == "word" else value[1:-1].replace("``", "`").lower())
+            dot = False
+        elif value == "." and parts and not dot:
+            dot = True
+        else:
+            if parts:
+                out.add(".".join(parts))
+            parts, dot = [], False
+    if parts:
+        out.add(".".join(parts))
+    return out | {py_table_name(t) for t in out}
+
+
 class Parser:
     def __init__(self, text: str):
         self.text, self.tokens, self.i = text, lex(text), 0

@@ -127,3 +127,24 @@ def test_command_line(spark, tasks, tmp_path, capsys):
     assert cli.main(["insight", "--input", str(tmp_path / "s"), "--output", str(tmp_path / "i")]) == 0
     sql.write_text("insert into")
     assert cli.main(["parse", "--sql-file", str(sql), "--output", str(tmp_path / "bad")]) == 1
+
+
+def test_both_ways_of_a_catalogue_agree(spark, monkeypatch):
+    c = spark.createDataFrame([("orders", 0, "o"), ("dw.a", 0, "x"), ("dw.a", 1, "y"), ("dw.b", 0, "z")], "table_key string, ordinal int, name string")
+    texts = {
+        "select * from orders": ["o"],
+        "select * from dw.a,dw.b": ["x", "y", "z"],
+        "select * from (select * from dw.a)t": ["x", "y"],
+        "select * from lake.DW . `A`/*x*/": ["x", "y"],
+        "select * from `dw.b`": ["z"],
+        "select z from orders,dw.b where'1'=z": ["z"],
+    }
+    tasks = spark.createDataFrame([(name, f"insert into m.t {sql}") for sql in texts for name in (None, "same")] + [("same", None)], "task_name string, sql string")
+    roots = lambda: sorted((r["stmt"] or "", str([(x["name"], x["sources"]) for s in r["scopes"] if s["scope_id"] == "ROOT" for x in s["columns"]]), str(r["lineage"])) for r in lineage.analyze(tasks, c).collect())
+    small = roots()
+    assert len(small) == 2 * len(texts) + 1
+    monkeypatch.setattr(lineage, "CATALOG_COLUMNS", 1)
+    assert roots() == small
+    for sql, names in texts.items():
+        own = lineage.analyze(spark.createDataFrame([("k", f"insert into m.t {sql}")], "task_name string, sql string"), c).first()
+        assert [x["name"] for s in own["scopes"] if s["scope_id"] == "ROOT" for x in s["columns"]] == names
