@@ -45,8 +45,8 @@ QUERIES = {
     "task_end_to_end": _tasks(lineage.end_to_end),
     "task_column_usage": _tasks(impact.column_usage),
     "task_traces": _tasks(lambda a: impact.traces(a, "ROOT")),
-    "task_downstream": _tasks(lambda a: impact.downstream(a, "dwd_core.account_day", "account_id")),
-    "task_impact_reach": _tasks(lambda a: impact.reachable((l := impact.task_links(a)), l.where("from_table = 'dwd_core.account_day'").select(F.col("from_table").alias("table_name"), F.col("from_column").alias("column_name")))),
+    "task_downstream": _tasks(impact.feeds),
+    "task_impact_reach": _tasks(impact.reach_of_sources),
     "task_severity": _tasks(lambda a: audit.severity_counts(audit.audit(a))),
     "task_schema_gaps": _tasks(audit.schema_gaps),
     "task_star_actions": _tasks(audit.star_actions),

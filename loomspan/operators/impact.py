@@ -23,9 +23,14 @@ def column_usage(a: DataFrame) -> DataFrame:
     return e.groupBy("source_table", "source_column").agg(F.count_distinct("stmt").alias("n_statements"), F.count_distinct("stmt", "ordinal").alias("n_outputs"))
 
 
+def feeds(a: DataFrame) -> DataFrame:
+    """Every physical column with the result columns it feeds directly, in any statement."""
+    return lineage.end_to_end(a).where("source_table is not null").select("source_table", "source_column", "stmt", "target_table", "name", "transform").distinct()
+
+
 def downstream(a: DataFrame, table: str, column: str) -> DataFrame:
     """Result columns that the given physical column feeds directly, in any statement."""
-    return lineage.end_to_end(a).where((F.col("source_table") == table) & (F.col("source_column") == column)).select("stmt", "target_table", "name", "transform").distinct()
+    return feeds(a).where((F.col("source_table") == table) & (F.col("source_column") == column)).select("stmt", "target_table", "name", "transform")
 
 
 def task_links(a: DataFrame) -> DataFrame:
@@ -52,6 +57,17 @@ def reachable(links: DataFrame, starts: DataFrame) -> DataFrame:
         seen = cut(seen.unionByName(wave))
 
 
+def reach_of_sources(a: DataFrame) -> DataFrame:
+    """Columns reached from the columns of every table that is read but written by no statement, with the least
+    number of steps from any of them.  Statements are analysed once."""
+    e = lineage.end_to_end(a).where("target_table is not null").select(table_name("source_table").alias("from_table"), plain_name("source_column").alias("from_column"), table_name("target_table").alias("to_table"), plain_name("name").alias("to_column"))
+    e = cut(e.distinct())
+    links = e.where("from_table is not null")
+    written = e.select(F.col("to_table").alias("from_table")).distinct()
+    starts = links.select("from_table", "from_column").join(written, "from_table", "left_anti").select(F.col("from_table").alias("table_name"), F.col("from_column").alias("column_name"))
+    return reachable(links, starts)
+
+
 def traces(a: DataFrame, scope: str | None = None) -> DataFrame:
     """The leaves of every column of every scope (or of one scope), constants and system values
     kept, and how many columns were visited on the way: stmt, scope_id, name, leaf_scope, leaf_column,

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from loomspan.operators import lineage
+from loomspan.operators import impact, lineage
 from loomspan.operators.corpus_queries import QUERIES
 from loomspan.runtime import table
 
@@ -62,3 +62,35 @@ def test_dangling_scopes_of_every_task(rows, spark, sf_dir):
         used = {x for s in r["scopes"] for x in s["depends_on"]}
         want |= {(r["stmt"], s["scope_id"]) for s in r["scopes"] if r["status"] == "ok" and s["scope_id"] not in used | {"ROOT"}}
     assert {(r["stmt"], r["scope_id"]) for r in QUERIES["task_dangling_scopes"](spark, sf_dir).collect()} == want
+
+
+def links_of(rows):
+    return {(x["scope"], x["column"], r["target_table"], l["name"]) for r in rows for l in r["lineage"] for x in l["sources"] if r["target_table"]}
+
+
+def test_every_column_is_followed_downstream(rows, spark, sf_dir):
+    want = {(x["scope"], x["column"], r["stmt"], l["name"]) for r in rows for l in r["lineage"] for x in l["sources"]}
+    got = QUERIES["task_downstream"](spark, sf_dir).select("source_table", "source_column", "stmt", "name").collect()
+    assert set(map(tuple, got)) == want
+
+
+def test_reach_from_every_unwritten_table(spark):
+    texts = ["insert into m.b select a.x, a.y from s.a a", "insert into m.c select b.x as p, 1 as q from m.b b", "insert into m.d select c.p, k.z from m.c c join s.k k on c.p = k.i", "insert into m.e select 1 as one", "insert into m.f select e.one from m.e e"]
+    a = lineage.analyze(spark.createDataFrame([(f"t{i}", t) for i, t in enumerate(texts)], "task_name string, sql string"))
+    got = {(r["table_name"], r["column_name"]): r["steps"] for r in impact.reach_of_sources(a).collect()}
+    assert got == {("s.a", "x"): 0, ("s.a", "y"): 0, ("s.k", "z"): 0, ("m.b", "x"): 1, ("m.b", "y"): 1, ("m.d", "z"): 1, ("m.c", "p"): 2, ("m.d", "p"): 3}
+
+
+def test_reach_of_the_tasks(rows, spark, sf_dir):
+    plain = lambda t: ".".join(t.replace("`", "").lower().split(".")[-2:])
+    links = {((plain(a), b), (plain(c), d)) for a, b, c, d in links_of(rows)}
+    written = {plain(r["target_table"]) for r in rows if r["target_table"] and r["lineage"]}
+    steps = {a: 0 for a, _ in links if a[0] not in written}
+    wave, at = set(steps), 0
+    while wave:
+        at += 1
+        wave = {b for a, b in links if a in wave and b not in steps}
+        steps.update(dict.fromkeys(wave, at))
+    got = {(r["table_name"], r["column_name"]): r["steps"] for r in QUERIES["task_impact_reach"](spark, sf_dir).collect()}
+    assert got == steps
+    assert len({t for t, _ in steps}) > 1
