@@ -6,15 +6,18 @@ target is a direct orphan; its reason says whether the target never existed, was
 
 The fixpoint cascade then follows the foreign keys down: a column fed by an orphaned edge is itself
 orphaned, so every edge that reads it inherits the fault, and so on until a round adds nothing.  A
-round is a semi-join of the edges not yet reached with the columns reached last; edges of a statement
-never feed another statement, so the cascade packs statements by hash into buckets, runs the rounds of
-a bucket in one task with numpy, and leaves statements beyond GROUP_EDGES to the same semi-joins
-on DataFrames, spread by column.
-
-Defined results: repeated rows count once.  Names are compared trimmed, without backticks, in lower
-case, tables by their last two parts; the pseudo sources and `*` are recognised in that form.  A null
-from_scope is no reference; a null from_column is the name ''.  A null time is never within a span
-of life.  Null and empty maps give no references.  Empty targets make every reference missing.
+round is a semi-join of the edges not yet reached with the columns reached last.  Edges of a statement
+never feed another statement, so statements are packed by hash into buckets and a bucket's rounds are
+run in one task on sorted keys.  A statement with more than GROUP_EDGES edges is spread over tasks
+by column instead.  There a round for every step of a long chain would never end, so columns with a
+single source are first tied to the column their chain starts from (pointer doubling, a round for
+every doubling of the chain's length), and the semi-joins run between those anchors only.
+
+Defined results: repeated rows count once.  The pseudo sources and `*` are recognised as they are
+written, so a quoted `*` is a reference like any other; names are compared trimmed, without backticks,
+in lower case, tables by their last two parts.  A null from_scope is no reference; a null from_column
+is the name ''.  A null time is never within a span of life.  Null and empty maps give no references.
+Empty targets make every reference missing.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.names import plain_name, table_name
-from loomspan.runtime import broadcast_if_small, buckets_for, cut
+from loomspan.runtime import broadcast_if_small, buckets_for, cut, stored
 
 GROUP_EDGES = 200_000
 BUCKET_EDGES = 100_000
-PSEUDO = ("constant", "system", "unknown")
+PSEUDO = ("CONSTANT", "SYSTEM", "UNKNOWN")
 
 
 def lives(spans: DataFrame, key: Column, start: str, end: str) -> DataFrame:
@@ -53,7 +56,7 @@ def marked_edges(edges: DataFrame, catalog: DataFrame) -> DataFrame:
     exist the reason and the key."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     column = F.coalesce(plain_name("from_column"), F.lit(""))
-    is_ref = F.col("from_scope").isNotNull() & ~plain_name("from_scope").isin(*PSEUDO) & (column != "*")
+    is_ref = F.col("from_scope").isNotNull() & ~F.col("from_scope").isin(*PSEUDO) & (text("from_column") != "*")
     inner = (F.col("from_scope") == "ROOT") | F.contains("from_scope", F.lit(":"))
     rows = edges.select("edge_id", "stmt_id", "to_scope", text("to_column").alias("to_column"), "from_scope", text("from_column").alias("from_column"), F.col("seen_at").alias("at")).distinct()
     rows = rows.withColumn("target", F.when(~is_ref, "none").when(inner, "scope").otherwise("catalog"))
@@ -132,16 +135,40 @@ def cascade(edges: DataFrame, catalog: DataFrame, group_edges: int = GROUP_EDGES
     if widest <= group_edges:
         return out
     rest = marked.join(large, F.col("stmt_id").eqNullSafe(F.col("big")), "left_semi")
-    done = cut(rest.where("round = 0"))
-    open_, wave, at = rest.where("round < 0"), done, 0
+    return out.unionByName(_spread(stored(rest), columns))
+
+
+def _spread(edges: DataFrame, columns: list[str]) -> DataFrame:
+    """The cascade of statements beyond a task: levels of columns by anchors, then of edges."""
+    here = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    # A column is an anchor if it is directly orphaned (level 0) or has several sources.
+    cols = edges.groupBy("stmt_id", F.col("to_key").alias("col")).agg(F.count("*").alias("n"), F.min("from_key").alias("src"), F.max("round").alias("direct"))
+    single = (F.col("n") == 1) & (F.col("direct") < 0) & F.col("src").isNotNull()
+    state = stored(cols.select("stmt_id", "col", F.when(single, F.col("src")).otherwise(F.col("col")).alias("up"), F.when(single, 1).otherwise(0).cast("bigint").alias("dist"), (~single).alias("done"), F.when(F.col("direct") == 0, F.lit(0).cast("bigint")).alias("level")))
+    n, reach = state.count(), 1
+    while reach <= n and not state.where("not done").isEmpty():
+        above = state.select(F.col("stmt_id").alias("a_stmt"), F.col("col").alias("a_col"), F.col("up").alias("a_up"), F.col("dist").alias("a_dist"), F.col("done").alias("a_done"))
+        step = state.where("not done").join(above, here("stmt_id", "a_stmt") & (F.col("up") == F.col("a_col")), "left")
+        # What no edge leads to ends a chain; its anchor has no level, so nothing is inherited from it.
+        moved = step.select("stmt_id", "col", F.coalesce("a_up", "up").alias("up"), (F.col("dist") + F.coalesce("a_dist", F.lit(0))).alias("dist"), F.coalesce("a_done", F.lit(True)).alias("done"), "level")
+        state = stored(state.where("done").unionByName(moved))
+        reach *= 2
+    tied = state.where("done").select(F.col("stmt_id").alias("t_stmt"), F.col("col").alias("t_col"), "up", "dist")
+    join = state.where("dist = 0 and done").select(F.col("stmt_id").alias("j_stmt"), F.col("col").alias("j_col"))
+    into = edges.where("round < 0 and from_key is not null").join(join, here("stmt_id", "j_stmt") & (F.col("to_key") == F.col("j_col")), "left_semi")
+    hops = stored(into.join(tied, here("stmt_id", "t_stmt") & (F.col("from_key") == F.col("t_col"))).groupBy("stmt_id", F.col("up").alias("h_from"), F.col("to_key").alias("h_to")).agg((F.min("dist") + 1).alias("far")))
+    levels = stored(state.where("level = 0").select("stmt_id", F.col("col").alias("anchor"), "level"))
+    wave = levels
     while not wave.isEmpty():
-        at += 1
-        reached = wave.select(F.col("stmt_id").alias("r_stmt"), F.col("to_key").alias("r_key")).distinct()
-        hit = F.col("stmt_id").eqNullSafe(F.col("r_stmt")) & (F.col("from_key") == F.col("r_key"))
-        wave = cut(open_.join(reached, hit, "left_semi").withColumns({"round": F.lit(at), "reason": F.lit("inherited")}))
-        open_ = cut(open_.join(reached, hit, "left_anti"))
-        done = done.unionByName(wave)
-    return out.unionByName(done.select(*columns))
+        w = wave.select(F.col("stmt_id").alias("w_stmt"), F.col("anchor").alias("w_col"), F.col("level").alias("w_level"))
+        met = hops.join(w, here("stmt_id", "w_stmt") & (F.col("h_from") == F.col("w_col"))).groupBy("stmt_id", F.col("h_to").alias("anchor")).agg(F.min(F.col("w_level") + F.col("far")).alias("level"))
+        old = levels.select(F.col("stmt_id").alias("o_stmt"), F.col("anchor").alias("o_col"), F.col("level").alias("o_level"))
+        wave = stored(met.join(old, here("stmt_id", "o_stmt") & (F.col("anchor") == F.col("o_col")), "left").where("o_level is null or level < o_level").select("stmt_id", "anchor", "level"))
+        levels = stored(levels.unionByName(wave).groupBy("stmt_id", "anchor").agg(F.min("level").alias("level")))
+    of = levels.select(F.col("stmt_id").alias("l_stmt"), "anchor", F.col("level").alias("base"))
+    faulty = tied.join(broadcast_if_small(of), here("t_stmt", "l_stmt") & (F.col("up") == F.col("anchor"))).select("t_stmt", "t_col", (F.col("base") + F.col("dist")).alias("fault"))
+    heirs = edges.where("round < 0").join(faulty, here("stmt_id", "t_stmt") & (F.col("from_key") == F.col("t_col"))).withColumns({"round": (F.col("fault") + 1).cast("int"), "reason": F.lit("inherited")})
+    return edges.where("round = 0").select(*columns).unionByName(heirs.select(*columns))
 
 
 def report(edges: DataFrame, catalog: DataFrame, audits: DataFrame, kinds: DataFrame) -> DataFrame:

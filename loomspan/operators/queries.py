@@ -19,7 +19,7 @@ QUERIES = {
     "p2_hierarchies": lambda s, d: trees.hierarchies(table(s, d, "column_edges"), table(s, d, "scope_joins"), lists=True),
     "p2_tree_report": _on(trees.tree_report, "column_edges", "scope_joins"),
     "p4_found": _on(orphans.found, *_P4),
-    "p4_cascade": _on(orphans.cascade, "column_edges", "catalog_columns"),
+    "p4_cascade": _on(lambda e, c: orphans.cascade(e, c).select("edge_id", "stmt_id", "reason", "period", "round"), "column_edges", "catalog_columns"),
     "p4_report": _on(orphans.report, *_P4),
     "p6_found": _on(diff.compare, "left_output", "right_output"),
     "p6_summary": _on(diff.summary, "left_output", "right_output"),
@@ -73,7 +73,7 @@ WITH RECURSIVE edges AS (SELECT DISTINCT edge_id, stmt_id, to_scope, to_column,
 plain AS (
   SELECT *, array_to_string((string_split(lower(replace(trim(from_scope), '`', '')), '.'))[-2:], '.') AS t, lower(replace(trim(from_column), '`', '')) AS c, from_scope = 'ROOT' OR contains(from_scope, ':') AS inner_ref
   FROM edges WHERE from_scope IS NOT NULL),
-refs AS (SELECT * FROM plain WHERE t NOT IN ('constant', 'system', 'unknown') AND c <> '*'),
+refs AS (SELECT * FROM plain WHERE from_scope NOT IN ('CONSTANT', 'SYSTEM', 'UNKNOWN') AND from_column <> '*'),
 cat AS (SELECT array_to_string((string_split(lower(replace(trim(table_key), '`', '')), '.'))[-2:], '.') AS t, lower(replace(trim(name), '`', '')) AS c, created_at AS s, deleted_at AS e FROM catalog_columns),
 codes AS (SELECT DISTINCT audit_id, audited_at, lower(replace(trim(k), '`', '')) AS code FROM (SELECT audit_id, audited_at, unnest(map_keys(issues)) AS k FROM audit_records)),
 kinds AS (SELECT lower(replace(trim(issue_code), '`', '')) AS code, added_at AS s, retired_at AS e FROM issue_kinds),
@@ -91,11 +91,15 @@ direct AS (
 """
 
 _P4_RUN = """,
-run AS (
-  SELECT e.edge_id, e.stmt_id, e.to_scope, e.to_column FROM edges e JOIN direct d ON d.ref_table = 'column_edges' AND d.ref_id = e.edge_id
+run(edge_id, stmt_id, to_scope, to_column, round) USING KEY (edge_id) AS (
+  SELECT e.edge_id, e.stmt_id, e.to_scope, e.to_column, 0 FROM edges e JOIN direct d ON d.ref_table = 'column_edges' AND d.ref_id = e.edge_id
   UNION
-  SELECT e.edge_id, e.stmt_id, e.to_scope, e.to_column FROM run r JOIN edges e ON e.stmt_id = r.stmt_id AND e.from_scope = r.to_scope AND e.from_column = r.to_column),
-inherited AS (SELECT r.edge_id, strftime(e.seen_at, '%Y-%m') AS period FROM run r JOIN edges e USING (edge_id) ANTI JOIN (SELECT ref_id AS edge_id FROM direct WHERE ref_table = 'column_edges') d USING (edge_id))
+  SELECT e.edge_id, e.stmt_id, e.to_scope, e.to_column, r.round + 1 FROM run r JOIN edges e ON e.stmt_id = r.stmt_id AND e.from_scope = r.to_scope AND e.from_column = r.to_column
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.run x WHERE x.edge_id = e.edge_id)),
+every AS (
+  SELECT r.edge_id, r.stmt_id, d.ref_key, coalesce(d.reason, 'inherited') AS reason, strftime(e.seen_at, '%Y-%m') AS period, CAST(r.round AS INT) AS round
+  FROM run r JOIN edges e USING (edge_id) LEFT JOIN (SELECT * FROM direct WHERE ref_table = 'column_edges') d ON d.ref_id = r.edge_id),
+inherited AS (SELECT edge_id, period FROM every WHERE round > 0)
 """
 
 _P6_WITH = """
@@ -125,6 +129,7 @@ SQL = {
     + """SELECT p.tree_kind, count(*) AS n_nodes, count(*) FILTER (WHERE depth = 0) AS n_roots, count(*) FILTER (WHERE depth < 0) AS n_cyclic, max(depth) AS max_depth, max(coalesce(b.n, 0)) AS max_descendants
 FROM placed p LEFT JOIN below b ON p.tree_kind = b.tree_kind AND p.stmt_id = b.stmt_id AND p.node = b.node GROUP BY p.tree_kind""",
     "p4_found": _P4_WITH + "SELECT ref_table, ref_id, ref_key, reason, period FROM direct",
+    "p4_cascade": _P4_WITH + _P4_RUN + "SELECT edge_id, stmt_id, reason, period, round FROM every",
     "p4_report": _P4_WITH
     + _P4_RUN
     + """SELECT ref_table, period, count(*) FILTER (WHERE reason = 'missing') AS n_missing, count(*) FILTER (WHERE reason = 'deleted') AS n_deleted, count(*) FILTER (WHERE reason = 'late') AS n_late, count(*) FILTER (WHERE reason = 'inherited') AS n_inherited

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As cut, by a table written under the shared checkpoint folder.  For loops of many rounds: what
+    the optimiser knows of a checkpointed frame (constraints) is carried on and grows with every round, so
+    planning alone would come to take minutes; a table read back starts afresh."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint when a count proves that ``df`` has at most ``limit`` rows; otherwise ``df``
     as it is, for a shuffle join that adaptive execution can split where a key is hot."""
