@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from loomspan.operators import trees
 
 COLUMNS = "g bigint, child string, parent string"
@@ -70,8 +72,30 @@ def test_packed_and_spread_match_brute_force(spark):
     for seed in range(3):
         links = random_links(seed)
         check(run(spark, links), links)
-    links = random_links(9)
-    check(run(spark, links, group_links=5), links)
+    for seed, several in ((9, True), (10, False)):
+        links = random_links(seed)
+        if not several:
+            links = list({(g, c): (g, c, p) for g, c, p in links}.values())
+        check(run(spark, links, group_links=25), links)
+
+
+def test_chain_and_star_beyond_a_task(spark):
+    # 250,000 links of one group each: more than a task may hold.
+    i, n = F.col("id"), 250_000
+    name = lambda c: F.concat(F.lit("n"), c)
+    chain = spark.range(n).select(F.lit(1).alias("g"), name(i + 1).alias("child"), name(i).alias("parent"))
+    star = spark.range(n).select(F.lit(2).alias("g"), name(i + 1).alias("child"), F.lit("hub").alias("parent"))
+    loop = spark.range(9).select(F.lit(1).alias("g"), F.concat(F.lit("c"), i).alias("child"), F.concat(F.lit("c"), (i + 1) % 9).alias("parent"))
+    got = {(r["g"], r["node"]): (r["root"], r["depth"], r["n_descendants"]) for r in trees.hierarchy(chain.unionByName(star).unionByName(loop), ["g"]).collect()}
+    assert len(got) == 2 * (n + 1) + 9
+    assert all(got[1, f"n{k}"] == ("n0", k, n - k) for k in range(n + 1))
+    assert got[2, "hub"] == ("hub", 0, n) and all(got[2, f"n{k}"] == ("hub", 1, 0) for k in range(1, n + 1))
+    assert all(got[1, f"c{k}"] == ("", -1, 0) for k in range(9))
+
+
+def test_repeats_of_one_link_do_not_make_a_group_large(spark):
+    rows = spark.range(60).select(F.lit(1).alias("g"), F.lit("a").alias("child"), F.lit("b").alias("parent"))
+    assert sorted((r["node"], r["depth"]) for r in trees.hierarchy(rows, ["g"], group_links=20).collect()) == [("a", 1), ("b", 0)]
 
 
 def test_cycles_nulls_and_repeats(spark):
