@@ -11,9 +11,12 @@ import types
 from collections.abc import Callable
 
 
-def once(key: str, make: Callable):
-    """make() for the first caller of this process, the same value for all others."""
+def once(key: str, make: Callable, family: str = ""):
+    """make() for the first caller of this process, the same value for all others.  Of the keys that start
+    with `family` only the one asked for last is kept."""
     kept = sys.modules.setdefault("_loomspan_process", types.ModuleType("_loomspan_process")).__dict__
     if key not in kept:
+        for other in [k for k in kept if family and k.startswith(family)]:
+            del kept[other]
         kept[key] = make()
     return kept[key]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.operators import audit, diff, impact, insight, lineage, profile
-from loomspan.operators.queries import _P1_SQL
+from loomspan.operators.queries import _P1_WITH
 from loomspan.runtime import table
 from loomspan.sources import readers
 
@@ -83,7 +83,7 @@ QUERIES = {
     "catalog_normalized": _on(lambda c: readers.normalized_catalog(c).select("table_key", "name", "ordinal"), "catalog_columns"),
 }
 
-_DOCS = _P1_SQL[: _P1_SQL.index("lists AS (")].rstrip().rstrip(",")
+_DOCS = _P1_WITH[: _P1_WITH.index("lists AS (")].rstrip().rstrip(",")
 _OBJ = _DOCS + ", c AS (SELECT * FROM col WHERE json_type(c) = 'OBJECT')"
 _LIST = "CASE json_type(x) WHEN 'ARRAY' THEN list_filter(CAST(x AS JSON[]), lambda v: json_type(v) = 'OBJECT') WHEN 'OBJECT' THEN [x] ELSE [] END"
 

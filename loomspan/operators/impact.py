@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomspan.functions.names import plain_name, table_name
 from loomspan.operators import lineage
 from loomspan.plans import trace as walk
-from loomspan.runtime import broadcast_if_small, buckets_for, cut
+from loomspan.runtime import broadcast_if_small, buckets_for, stored
 
 BUCKET_EDGES = 100_000
 
@@ -43,25 +43,25 @@ def reachable(links: DataFrame, starts: DataFrame) -> DataFrame:
     """Columns reached from `starts` (table_name, column_name) over links of any length, with the least number of
     steps.  Breadth first over the corpus: a round joins what was reached last with the links and
     drops what was reached before; it ends when a round finds nothing."""
-    links = cut(links.select("from_table", "from_column", "to_table", "to_column").distinct())
+    links = stored(links.select("from_table", "from_column", "to_table", "to_column").distinct())
     wave = starts.select("table_name", "column_name").distinct().withColumn("steps", F.lit(0))
-    seen, at = cut(wave), 0
+    seen, at = stored(wave), 0
     wave = seen
     while True:
         at += 1
         near = broadcast_if_small(wave)
         step = links.join(near, (F.col("from_table") == F.col("table_name")) & (F.col("from_column") == F.col("column_name"))).select(F.col("to_table").alias("table_name"), F.col("to_column").alias("column_name")).distinct()
-        wave = cut(step.join(seen.select("table_name", "column_name"), ["table_name", "column_name"], "left_anti").withColumn("steps", F.lit(at)))
+        wave = stored(step.join(seen.select("table_name", "column_name"), ["table_name", "column_name"], "left_anti").withColumn("steps", F.lit(at)))
         if wave.isEmpty():
             return seen
-        seen = cut(seen.unionByName(wave))
+        seen = stored(seen.unionByName(wave))
 
 
 def reach_of_sources(a: DataFrame) -> DataFrame:
     """Columns reached from the columns of every table that is read but written by no statement, with the least
     number of steps from any of them.  Statements are analysed once."""
     e = lineage.end_to_end(a).where("target_table is not null").select(table_name("source_table").alias("from_table"), plain_name("source_column").alias("from_column"), table_name("target_table").alias("to_table"), plain_name("name").alias("to_column"))
-    e = cut(e.distinct())
+    e = stored(e.distinct())
     links = e.where("from_table is not null")
     written = e.select(F.col("to_table").alias("from_table")).distinct()
     starts = links.select("from_table", "from_column").join(written, "from_table", "left_anti").select(F.col("from_table").alias("table_name"), F.col("from_column").alias("column_name"))

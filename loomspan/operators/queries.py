@@ -14,6 +14,9 @@ def _on(f, *names):
 
 QUERIES = {
     "p1_found": _on(nested.child_objects, "lineage_docs"),
+    "p1_scopes": _on(nested.scopes, "lineage_docs"),
+    "p1_columns": _on(nested.columns, "lineage_docs"),
+    "p1_links": _on(nested.links, "lineage_docs"),
     "p1_table_sizes": _on(nested.table_sizes, "lineage_docs"),
     "p2_found": _on(trees.found, "column_edges", "scope_joins"),
     "p2_hierarchies": lambda s, d: trees.hierarchies(table(s, d, "column_edges"), table(s, d, "scope_joins"), lists=True),
@@ -25,7 +28,7 @@ QUERIES = {
     "p6_summary": _on(diff.summary, "left_output", "right_output"),
 }
 
-_P1_SQL = """
+_P1_WITH = """
 WITH docs AS (
   SELECT stmt_id, payload FROM (
     SELECT *, row_number() OVER (PARTITION BY stmt_id ORDER BY received_at DESC, payload DESC) AS rn
@@ -45,10 +48,24 @@ vals AS (
 items AS (
   SELECT stmt_id, scope_id, column_no, kind, a, b, CASE json_type(x) WHEN 'ARRAY' THEN CAST(x AS JSON[]) WHEN 'OBJECT' THEN [x] ELSE [] END AS x FROM vals),
 item AS (SELECT stmt_id, scope_id, column_no, kind, a, b, unnest(range(len(x))) AS child_no, unnest(x) AS x FROM items)
-SELECT stmt_id, scope_id, CAST(column_no AS INT) AS column_no, kind AS child_kind, CAST(child_no AS INT) AS child_no,
+"""
+
+_P1_SQL = (
+    _P1_WITH
+    + """SELECT stmt_id, scope_id, CAST(column_no AS INT) AS column_no, kind AS child_kind, CAST(child_no AS INT) AS child_no,
   coalesce(json_extract_string(x, a), '') AS first_value, coalesce(json_extract_string(x, b), '') AS second_value
 FROM item WHERE json_type(x) = 'OBJECT'
 """
+)
+_P1_ROWS = (
+    _P1_WITH
+    + """, sc AS (SELECT stmt_id, scope_id, json_extract(payload, '$.scopes."' || scope_id || '"') AS x FROM scopes),
+flat AS (
+  SELECT 'scope' AS tag, NULL AS parent_tag, stmt_id, NULL AS parent_key, scope_id AS row_key FROM sc WHERE json_type(x) = 'OBJECT'
+  UNION ALL SELECT 'column', 'scope', stmt_id, scope_id, scope_id || '/' || column_no FROM col WHERE json_type(c) = 'OBJECT'
+  UNION ALL SELECT kind, 'column', stmt_id, scope_id || '/' || column_no, '' FROM item WHERE json_type(x) = 'OBJECT')
+"""
+)
 
 _P2_WITH = """
 WITH RECURSIVE links AS (
@@ -123,6 +140,14 @@ cells AS (
 
 SQL = {
     "p1_found": _P1_SQL,
+    "p1_scopes": _P1_ROWS
+    + """SELECT stmt_id, scope_id AS row_key, json_extract_string(x, '$.kind') AS kind, json_extract_string(x, '$.role') AS role, json_extract_string(x, '$.set_op') AS set_op, TRY_CAST(json_extract_string(x, '$.distinct') AS BOOLEAN) AS distinct
+FROM sc WHERE json_type(x) = 'OBJECT'""",
+    "p1_columns": _P1_WITH
+    + """SELECT stmt_id, scope_id AS parent_key, scope_id || '/' || column_no AS row_key, CAST(column_no AS INT) AS position, json_extract_string(c, '$.name') AS name, json_extract_string(c, '$.transform') AS transform,
+  json_extract_string(c, '$.agg_function') AS agg_function, json_extract_string(c, '$.merge_branch') AS merge_branch FROM col WHERE json_type(c) = 'OBJECT'""",
+    "p1_links": _P1_ROWS + "SELECT tag, parent_tag, count(*) AS n_rows, count(*) AS n_linked, count(DISTINCT (stmt_id, parent_key)) AS n_parents FROM flat WHERE parent_tag IS NOT NULL GROUP BY ALL",
+    "p1_table_sizes": _P1_ROWS + "SELECT tag, count(*) AS n_rows, count(DISTINCT stmt_id) AS n_statements FROM flat GROUP BY tag",
     "p2_found": _P2_WITH + "SELECT tree_kind, stmt_id, node, root, depth FROM placed",
     "p2_hierarchies": _P2_WITH + "SELECT p.tree_kind, p.stmt_id, p.node, p.parent, p.root, p.depth, coalesce(b.n, 0) AS n_descendants, p.path, coalesce(b.kids, []) AS descendants FROM placed p LEFT JOIN below b ON p.tree_kind = b.tree_kind AND p.stmt_id = b.stmt_id AND p.node = b.node",
     "p2_tree_report": _P2_WITH

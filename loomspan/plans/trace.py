@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 # The order in which the strongest transform along a path counts.
 ORDER = ("CONSTANT", "DIRECT", "EXPAND_ALL", "UNION", "EXPRESSION", "CONDITIONAL", "WINDOW", "AGGREGATE")
 RANK = {t: i for i, t in enumerate(ORDER)}
@@ -22,75 +24,93 @@ def end_to_end(columns: list[tuple], scopes: set[str], roots: list[tuple] | None
     for scope, name, branch in roots or [(c[0], c[1], c[3]) for c in columns if c[0] == "ROOT"]:
         found: dict[tuple, None] = {}
         reasons: dict[str, None] = {}
-        # Depth first, sources in order; a state is a column with the strongest transform so far.
-        stack = [(scope, name, 0, frozenset(), True)]
-        done = set()
-        while stack:
-            at, column, rank, above, first = stack.pop()
+
+        def step(at: str, column: str, rank: int, first: bool, branch=branch, found=found, reasons=reasons) -> list[tuple] | None:
+            """What a column leads to, or None where the walk ends."""
             if at in LEAVES:
                 if at == "UNKNOWN":
                     reasons.setdefault("unknown_source")
-                continue
+                return None
             if at not in scopes:
                 found.setdefault((at, column, ORDER[rank]))
-                continue
-            if (at, column) in above:
-                reasons.setdefault("cycle_detected")
-                continue
-            if (at, column, rank) in done:
-                continue
-            done.add((at, column, rank))
+                return None
             own = table.get((at, column))
             if own is None:
                 if column == "*" or column.endswith(".*") or at in stars:
                     reasons.setdefault("star_not_expanded")
-                    below = [(s, c if column == "*" or c != "*" else column) for s, c in stars.get(at, [])]
-                    stack += [(s, c, max(rank, RANK["EXPAND_ALL"]), above | {(at, column)}, False) for s, c in reversed(below)]
-                else:
-                    reasons.setdefault("missing_scope_column")
-                continue
-            for transform, b, sources in reversed(own):
-                if first and b != branch:
-                    continue
-                if transform == "EXPAND_ALL":
-                    reasons.setdefault("star_not_expanded")
-                stack += [(s, c, max(rank, RANK.get(transform, 0)), above | {(at, column)}, False) for s, c in reversed(sources)]
+                    return [(s, c, max(rank, RANK["EXPAND_ALL"])) for s, c in stars.get(at, [])]
+                reasons.setdefault("missing_scope_column")
+                return None
+            if any(t == "EXPAND_ALL" and not (first and b != branch) for t, b, _ in own):
+                reasons.setdefault("star_not_expanded")
+            return [(s, c, max(rank, RANK.get(t, 0))) for t, b, sources in own if not (first and b != branch) for s, c in sources]
+
+        _descend((scope, name, 0), step, lambda reasons=reasons: reasons.setdefault("cycle_detected"))
         out.append({"scope_id": scope, "name": name, "merge_branch": branch, "sources": [{"scope": s, "column": c, "transform": t} for s, c, t in found], "complete": not reasons, "reasons": list(reasons)})
     return out
 
 
+def _descend(start: tuple[str, str, int], step, on_cycle) -> None:
+    """Depth first, sources in order.  A state is a column with the strongest transform so far and is
+    opened once; a column met again on the way down to itself is a cycle.  Each column of the way is
+    marked when it is entered and unmarked when it is left, so nothing is copied."""
+    stack: list[tuple] = [(*start, False)]
+    way: dict[tuple, int] = {}
+    done: set[tuple] = set()
+    while stack:
+        at, column, rank, leave = stack.pop()
+        here = (at, column)
+        if leave:
+            way[here] -= 1
+            continue
+        if way.get(here):
+            on_cycle()
+            continue
+        if (at, column, rank) in done:
+            continue
+        below = step(at, column, rank, len(done) == 0)
+        if below is None:
+            continue
+        done.add((at, column, rank))
+        way[here] = way.get(here, 0) + 1
+        stack.append((at, column, rank, True))
+        stack += [(*x, False) for x in reversed(below)]
+
+
 def to_physical(columns: list[tuple], scopes: set[str], scope: str, name: str) -> list[tuple[str, str, str]]:
     """Leaves of one column as (scope, column, transform), constants and system values kept; a
-    wildcard passes the requested name on, and a request for `*` opens every named column."""
+    wildcard passes the requested name on, and a request for `*` opens every named column.  Each leaf
+    comes once for each transform it is reached by."""
     table: dict[tuple, list] = {}
     upstream: dict[str, dict[str, None]] = {}
     for at, column, transform, _, sources in columns:
         table.setdefault((at, column), []).append((transform, sources))
         upstream.setdefault(at, {}).update(dict.fromkeys(s for s, _ in sources))
+    by_scope: dict[str, list[tuple]] = {}
+    for (at, column), own in table.items():
+        by_scope.setdefault(at, []).extend((column, t, sources) for t, sources in own)
     out: list[tuple[str, str, str]] = []
-    stack = [(scope, name, 0, frozenset())]
-    while stack:
-        at, column, rank, above = stack.pop()
+
+    def step(at: str, column: str, rank: int, first: bool) -> list[tuple] | None:
         if at in LEAVES or at not in scopes:
             if at != "UNKNOWN":
                 out.append((at, column, ORDER[rank]))
-            continue
-        if (at, column) in above:
-            continue
-        seen = above | {(at, column)}
+            return None
+        every = by_scope.get(at, [])
         if column == "*":
-            named = [(c, s) for (a, c), own in table.items() if a == at for t, s in own if t != "EXPAND_ALL"]
-            wild = [(c, s) for (a, c), own in table.items() if a == at for t, s in own if t == "EXPAND_ALL"]
-            stack += [(s, c2, rank, seen) for _, sources in reversed(named or wild) for s, c2 in reversed(sources)]
-        elif (at, column) in table:
-            stack += [(s, c, max(rank, RANK.get(t, 0)), seen) for t, sources in reversed(table[at, column]) for s, c in reversed(sources)]
-        else:
-            wild = [(s, c) for (a, _), own in table.items() if a == at for t, sources in own if t == "EXPAND_ALL" for s, c in sources]
-            if wild:
-                stack += [(s, column if c == "*" else c, max(rank, RANK["EXPAND_ALL"]), seen) for s, c in reversed(wild)]
-            elif at != "ROOT" and len(upstream.get(at, {})) == 1:
-                stack.append((next(iter(upstream[at])), column, rank, seen))
-    return out
+            named = [sources for _, t, sources in every if t != "EXPAND_ALL"]
+            return [(s, c, rank) for sources in named or [sources for _, _, sources in every] for s, c in sources]
+        if (at, column) in table:
+            return [(s, c, max(rank, RANK.get(t, 0))) for t, sources in table[at, column] for s, c in sources]
+        wild = [x for _, t, sources in every if t == "EXPAND_ALL" for x in sources]
+        if wild:
+            return [(s, column if c == "*" else c, max(rank, RANK["EXPAND_ALL"])) for s, c in wild]
+        if at != "ROOT" and len(upstream.get(at, {})) == 1:
+            return [(next(iter(upstream[at])), column, rank)]
+        return None
+
+    _descend((scope, name, 0), step, lambda: None)
+    return list(dict.fromkeys(out))
 
 
 def upstream(columns: list[tuple], scopes: set[str], scope: str, name: str) -> dict:
@@ -108,3 +128,45 @@ def upstream(columns: list[tuple], scopes: set[str], scope: str, name: str) -> d
                 seen.add(source)
                 queue.append(source)
     return {"target": (scope, name), "physical": list(physical), "links": links, "path_length": len(seen)}
+
+
+def ordered(nodes: list[str], edges: list[tuple[str, str]]) -> list[str]:
+    """Nodes so that each comes after all that feed it, of those free at once the smallest by text first;
+    nodes on cycles, or fed by one, come last in order of text."""
+    feeds: dict[str, set[str]] = {n: set() for n in nodes}
+    open_ = {n: 0 for n in nodes}
+    for a, b in edges:
+        if a in feeds and b in feeds and b not in feeds[a] and a != b:
+            feeds[a].add(b)
+            open_[b] += 1
+    free = [n for n in nodes if not open_[n]]
+    heapq.heapify(free)
+    out = []
+    while free:
+        out.append(n := heapq.heappop(free))
+        for b in feeds[n]:
+            open_[b] -= 1
+            if not open_[b]:
+                heapq.heappush(free, b)
+    return out + sorted(n for n in nodes if open_[n] > 0)
+
+
+def feeding_tables(depends: dict[str, list[str]], scope: str) -> list[str]:
+    """The tables that feed a scope, directly or through other scopes; cycles end where they close."""
+    seen, todo, out = {scope}, [scope], set()
+    while todo:
+        for d in depends.get(todo.pop(), []):
+            if d not in depends:
+                out.add(d)
+            elif d not in seen:
+                seen.add(d)
+                todo.append(d)
+    return sorted(out)
+
+
+def physical_refs(columns: list[tuple], scopes: set[str], refs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The physical columns that references of a scope stand for, in order and once each."""
+    out: dict[tuple[str, str], None] = {}
+    for scope, column in refs:
+        out.update(dict.fromkeys((s, c) for s, c, _ in to_physical(columns, scopes, scope, column) if s not in LEAVES))
+    return list(out)

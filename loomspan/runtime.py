@@ -14,12 +14,15 @@ BROADCAST_ROWS = 200_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; one of our own is set only where the session names none."""
+    """The shared checkpoint folder.  A session that names none gets one of its own on a local master, as in
+    tests; on a cluster that is an error, for a folder of one machine would not survive the loss of it."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomspan-checkpoint-"))
     return sc.getCheckpointDir()
 

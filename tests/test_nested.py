@@ -44,11 +44,17 @@ def test_surrogates_and_clashing_columns(spark, clash):
     assert nested.child_objects(df).count() == 1
 
 
+def test_of_texts_at_one_time_the_greatest_counts(spark):
+    a, b = doc([{"sources": [{"scope": "a"}]}]), doc([{"sources": [{"scope": "b"}]}])
+    data = [(1, T[1], b), (1, T[1], a), (1, T[1], b), (1, T[0], a), (2, None, a), (2, None, b), (3, T[0], a)]
+    assert [r[:1] + r[5:6] for r in rows(spark, data)] == [(1, "b"), (2, "b"), (3, "a")]
+
+
 def test_written_tables_link_up(spark, sf_dir, tmp_path):
-    docs = nested.latest_readable(spark.read.parquet(f"{sf_dir}/lineage_docs.parquet"))
-    nested.write_tables(nested.tagged_rows(docs), str(tmp_path / "t"))
-    sizes = {tag: nested.read_table(spark, str(tmp_path / "t"), tag).count() for tag in nested.TABLES}
-    assert sizes["column"] > sizes["scope"] > 0
-    source = nested.read_table(spark, str(tmp_path / "t"), "source")
-    assert "resolved_by" in source.columns
-    assert nested.unlinked_rows(nested.tagged_rows(docs)).count() == 0
+    docs = spark.read.parquet(f"{sf_dir}/lineage_docs.parquet")
+    t = nested.tables(docs, str(tmp_path / "t"))
+    assert sorted(p.name for p in (tmp_path / "t").glob("tag=*")) == sorted(f"tag={tag}" for tag in nested.SCHEMAS)
+    assert t["column"].count() > t["scope"].count() > 0
+    assert "resolved_by" in t["source"].columns and dict(t["scope"].dtypes)["distinct"] == "boolean"
+    assert all(r["n_rows"] == r["n_linked"] > 0 for r in nested.links(docs).collect())
+    assert nested.table_sizes(docs.limit(0)).count() == 0
