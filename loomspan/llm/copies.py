@@ -5,11 +5,11 @@ digits of any script, in lower case.  Member order, white space, punctuation, ca
 members drop out.  The canonical form is hashed to 128 bits, with an independent 64-bit check beside
 it; copies are counted by a hash aggregate that combines in the mappers, so a group with a third of
 all rows costs each mapper one row.  Two forms that meet in 128 bits but not in the check would be
-kept apart and are reported by `collisions`.
+kept apart and are reported by `colliding`.
 
 Defined results: null bodies and bodies that are not one complete JSON object belong to no group.
 An absent or null member has no words; a member that is no text counts as its JSON text.  Repeated
-rows of a file_id count once.  Extra columns are ignored.
+rows of a file_id count once; of different bodies under one file_id the one with the least hash counts.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def hashed(files: DataFrame) -> DataFrame:
 
 def groups(rows: DataFrame) -> DataFrame:
     """h1, h2, check, keep_id, n_files."""
-    once = rows.groupBy("file_id").agg(*(F.min(c).alias(c) for c in ("h1", "h2", "check")))
+    once = rows.groupBy("file_id").agg(F.min(F.struct("h1", "h2", "check")).alias("f")).select("file_id", "f.*")
     return once.groupBy("h1", "h2", "check").agg(F.min("file_id").alias("keep_id"), F.count("*").alias("n_files"))
 
 
@@ -68,15 +68,21 @@ def records(files: DataFrame) -> DataFrame:
     return groups(hashed(files)).select("keep_id", "n_files")
 
 
-def collisions(files: DataFrame) -> DataFrame:
+def colliding(rows: DataFrame) -> DataFrame:
     """128-bit hashes that stand for more than one canonical form; expected to be empty."""
-    return groups(hashed(files)).groupBy("h1", "h2").agg(F.count("*").alias("n_forms")).where("n_forms > 1")
+    return groups(rows).groupBy("h1", "h2").agg(F.count("*").alias("n_forms")).where("n_forms > 1")
+
+
+def collision_check(files: DataFrame) -> DataFrame:
+    """One row: canonical forms, their 128-bit hashes, and hashes that stand for several forms."""
+    per = groups(hashed(files)).groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_forms"), F.count("*").alias("n_hashes"), F.count_if(F.col("n") > 1).alias("n_collisions"))
 
 
 def found(files: DataFrame, hot: int = HOT) -> DataFrame:
     """p3_found: keep_id, copy_id.  Files of very large groups meet their group by broadcast, so no
     task receives such a group; the others by a shuffle join on the hash."""
-    rows = cut(hashed(files))
+    rows = cut(hashed(files).groupBy("file_id").agg(F.min(F.struct("h1", "h2", "check")).alias("f")).select("file_id", "f.*"))
     several = cut(groups(rows).where("n_files > 1"))
     key = ["h1", "h2", "check"]
     large = broadcast_if_small(several.where(F.col("n_files") > hot).select(*key, F.col("keep_id").alias("hot_id")))
@@ -84,7 +90,7 @@ def found(files: DataFrame, hot: int = HOT) -> DataFrame:
     a = told.where("hot_id is not null").select(F.col("hot_id").alias("keep_id"), F.col("file_id").alias("copy_id"))
     rest = several.where(F.col("n_files") <= hot).select(*key, "keep_id")
     b = told.where("hot_id is null").join(rest, key).select("keep_id", F.col("file_id").alias("copy_id"))
-    return a.unionByName(b).where("keep_id <> copy_id").distinct()
+    return a.unionByName(b).where("keep_id <> copy_id")
 
 
 def feed_report(files: DataFrame) -> DataFrame:

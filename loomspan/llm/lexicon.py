@@ -87,9 +87,9 @@ def build(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
 
 
 class Lexicon:
-    """A built file, memory-mapped or in memory."""
+    """A built file: its path, to be memory-mapped, or a buffer that holds it."""
 
-    def __init__(self, source: str | bytes):
+    def __init__(self, source):
         a = np.memmap(source, dtype=np.int32, mode="r") if isinstance(source, str) else np.frombuffer(source, dtype=np.int32)
         n_arcs, n_states, n_words, n_ids, self.root, self.longest = map(int, a[:_HEAD])
         sizes = (n_arcs, n_arcs, n_arcs, n_states, n_words + 1, n_ids)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.process import once
+from loomspan.llm import blocks
 from loomspan.runtime import cut, spread
 
 # Letters of other alphabets drawn like Latin ones, and signs drawn like others, each
@@ -38,7 +39,8 @@ LOOKALIKES = """
 α a  ι i  ν v  ο o  ρ p  υ u  ϲ c  ϳ j
 Տ S  Լ L  Օ O  Ս U  հ h  ո n  ս u  ց g  օ o  զ q
 Ꭺ A  Ᏼ B  Ꮯ C  Ꭼ E  Ꮐ G  Ꮋ H  Ꭻ J  Ꮶ K  Ꮮ L  Ꮇ M  Ꮲ P  Ꭱ R  Ꮪ S  Ꭲ T  Ꮩ V  Ꮃ W  Ꮓ Z
-ɑ a  ɡ g  µ μ  ∆ Δ  ∑ Σ  ∏ Π  ∕ /  ⁄ /  ∶ :  ‐ -  ‑ -  − -  ∗ *  ․ .
+Г Γ  П Π  Ф Φ
+ɑ a  ɡ g  µ μ  ∆ Δ  ∑ Σ  ∏ Π  ∕ /  ⁄ /  ∶ :  ‐ -  ‑ -  − -  ∗ *  ․ .  ∣ |  ǀ |  ꞉ :  ։ :  ǃ !  ∖ \\  ⋅ ·  ∼ ~
 """
 
 
@@ -165,15 +167,13 @@ def classes(rows: DataFrame) -> DataFrame:
 
 def found(documents: DataFrame) -> DataFrame:
     """p9_found: doc_a, doc_b.  Pairs are made of spellings first, then of their documents, so a look
-    with a third of all documents in one spelling is never compared with itself."""
+    with a third of all documents in one spelling is never compared with itself; spellings of a look and
+    documents of a spelling meet block by block, so none of them is one task's work."""
     rows = cut(hashed(documents).distinct())
     spelled = cut(classes(rows).select("look", "own"))
-    a, b = spelled.select("look", F.col("own").alias("own_a")), spelled.select("look", F.col("own").alias("own_b"))
-    pairs = a.join(b, "look").where("own_a < own_b").select("own_a", "own_b")
+    pairs = blocks.within(spelled, "look", "own")
     of = rows.join(spelled, ["look", "own"], "left_semi").select("doc_id", "own")
-    left = pairs.join(of.select(F.col("doc_id").alias("x"), F.col("own").alias("own_a")), "own_a")
-    both = left.join(of.select(F.col("doc_id").alias("y"), F.col("own").alias("own_b")), "own_b")
-    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+    return blocks.between(pairs, "x", "y", of, "own", "doc_id").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"))
 
 
 def groups(documents: DataFrame) -> DataFrame:

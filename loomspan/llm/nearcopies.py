@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm import blocks
 from loomspan.operators.components import components
 from loomspan.runtime import broadcast_if_small, cut, spread
 
@@ -43,8 +44,6 @@ LIKENESS = 0.65
 RUNS = 16
 START = 3
 BRUTE = 64
-#: Without effect: no path goes on beyond START.  Kept because tests set it.
-MOST = 12
 #: Bits of the sketch that screens candidates, and the least that must agree: at the threshold
 #: 105.6 of 128 are expected to, with a deviation of 4.3, so the screen stands 5.4 deviations below.
 SKETCH_BITS = 128
@@ -260,14 +259,13 @@ def classed(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def found(tasks: DataFrame) -> DataFrame:
-    """p5_found: task_a, task_b, every pair of tasks alike by at least LIKENESS."""
+    """p5_found: task_a, task_b, every pair of tasks alike by at least LIKENESS.  The tasks of a class meet
+    block by block, so a class with a third of all tasks is no single task's work."""
     member, sets = classed(tasks)
     l = links(sets, tasks).select("a", "b")
-    of = lambda c, t: member.select(F.col("class").alias(c), F.col("task_id").alias(t))
-    across = l.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
-    several = member.where("n > 1")
-    within = several.select("class", F.col("task_id").alias("x")).join(several.select("class", F.col("task_id").alias("y")), "class").where("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("task_a"), F.greatest("x", "y").alias("task_b"))
+    across = blocks.between(l, "a", "b", member, "class", "task_id")
+    same = blocks.within(member.where("n > 1"), "class", "task_id").select("x", "y")
+    return across.unionByName(same).select(F.col("x").alias("task_a"), F.col("y").alias("task_b"))
 
 
 def groups(tasks: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ other item is cut.  How items are combined depends on their lengths alone, and t
 items there are - by minimum bin slack: a container is opened with the longest length left, a
 subset-sum over the lengths still available (bitsets, each length used at most as often as it is
 left) finds the fullest feasible combination, and that combination is taken as many times as the
-stock allows.  Each step exhausts a length, so a plan has at most `capacity` patterns.
+stock allows, after which less of one of its lengths is left than the combination needs.  The lengths of the
+largest items are used up from above, and tests bound the patterns by twice the lengths.
 
 Items are then matched with the plan by their rank among the items of their length.  Ranks need no
 task to see all items of a length (a third of all items may have the same): items are ranked inside
@@ -31,9 +32,8 @@ from loomspan.llm.tokens import token_counts
 from loomspan.runtime import cut
 
 CAPACITY = 2048
-#: Items per slice when ranking, and the greatest number of slices.
+#: Items per slice when ranking.
 SLICE_ITEMS = 50_000
-MOST_SLICES = 4096
 
 ASSIGNMENT = "doc_id bigint, piece_no int, start bigint, n_tokens int, container_id bigint, offset_in_container int"
 
@@ -110,10 +110,10 @@ def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
 
 def ranked(items: DataFrame, n_items: int) -> DataFrame:
     """Items with their rank among the items of the same length, without a task per length."""
-    slices = min(MOST_SLICES, max(8, n_items // SLICE_ITEMS))
+    slices = max(8, n_items // SLICE_ITEMS)
     sliced = items.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(slices)).cast("int"))
     counts = sliced.groupBy("n_tokens", "slice").count()
-    before = counts.select(F.col("n_tokens").alias("b_len"), F.col("slice").alias("b_slice"), (F.sum("count").over(Window.partitionBy("n_tokens").orderBy("slice")) - F.col("count")).alias("before"))
+    before = counts.select(F.col("n_tokens").alias("b_len"), F.col("slice").alias("b_slice"), (F.sum("count").over(Window.partitionBy("n_tokens").orderBy("slice")) - F.col("count")).alias("before"))  # one row a slice
     inside = sliced.withColumn("r", F.row_number().over(Window.partitionBy("n_tokens", "slice").orderBy("doc_id", "piece_no")) - 1)
     return inside.join(before, (F.col("n_tokens") == F.col("b_len")) & (F.col("slice") == F.col("b_slice"))).select("doc_id", "piece_no", "start", "n_tokens", (F.col("r") + F.col("before")).alias("rank"))
 
@@ -151,6 +151,23 @@ def containers(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return per.withColumn("unused", F.lit(capacity) - F.col("used"))
 
 
+def invariants(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """What must not be in a packing, counted, as rows (broken, n): containers above the capacity, containers
+    with gaps or overlaps between items, numbers without container, documents whose pieces are not exactly
+    their tokens, and cuts of items that would have fitted whole."""
+    sizes = cut(token_counts(documents).where("n_tokens > 0"))
+    placed = cut(pack(sizes, capacity))
+    per = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.max(F.col("offset_in_container") + F.col("n_tokens")).alias("end"), F.count_distinct("offset_in_container").alias("places"), F.count("*").alias("items"))
+    boxes = per.agg(
+        F.count_if(F.col("used") > capacity).alias("overfull"), F.count_if((F.col("used") != F.col("end")) | (F.col("places") != F.col("items"))).alias("with_gaps"),
+        (F.coalesce(F.max("container_id") + 1, F.lit(0)) - F.count("*")).alias("unnumbered"),
+    )
+    whole = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("n_pieces"))
+    size = sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_rows"), F.max("n_tokens").alias("longest"))
+    items = size.join(whole, "doc_id", "full").agg(F.count_if(~F.col("tokens").eqNullSafe(F.col("placed"))).alias("misplaced"), F.count_if((F.col("longest") <= capacity) & (F.col("n_pieces") > F.col("n_rows"))).alias("needlessly_cut"))
+    return boxes.unpivot([], boxes.columns, "broken", "n").unionByName(items.unpivot([], items.columns, "broken", "n"))
+
+
 def summary(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Containers used, the least number that could hold the tokens, and the share filled."""
     c = containers(documents, capacity).agg(F.count("*").alias("n_containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("n_items"), F.lit(0)).alias("n_items"))

@@ -1,8 +1,8 @@
 """Problem 7: the ids a public byte-level BPE tokenizer gives every text.
 
 A first pass counts the words (pre-tokens) of all documents in the JVM, combined in the mappers; the LEXICON_WORDS most frequent are merged once and compiled into a minimal acyclic
-transducer (lexicon.py).  That file is bounded by LEXICON_WORDS * LEXICON_WORD_BYTES, reaches the
-executors as a broadcast, and is memory-mapped by their workers.  The second pass, a narrow stage,
+transducer (lexicon.py).  That file is bounded by LEXICON_WORDS * LEXICON_WORD_BYTES, lies in the
+shared checkpoint folder, and is memory-mapped by the workers.  The second pass, a narrow stage,
 splits each text, looks its distinct words up in the transducer a batch at a time, merges the words
 the transducer does not know exactly, and splices the ids with numpy.  Which words are in the
 lexicon changes the speed only, never an id.
@@ -15,9 +15,10 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
+import mmap
 import os
-import tempfile
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,13 +27,12 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions.process import once
 from loomspan.llm import lexicon
-from loomspan.runtime import spread
+from loomspan.runtime import ensure_checkpoint_dir, spread
 
 #: Folder of the public tokenizers' files, and the vocabulary used.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -164,27 +164,42 @@ def compile_lexicon(documents: DataFrame, ranks: dict[bytes, int], words: int =
     return lexicon.build((w, merge(w, ranks)) for w in (r["word"].encode() for r in top))
 
 
-def _encoder(name: str, file: bytes, ranks: dict[bytes, int]) -> Encoder:
-    """This process's encoder; the lexicon is written once to the executor's own file folder, from
-    the broadcast, and memory-mapped by all its workers."""
+def _shared_file(spark: SparkSession, file: bytes) -> str:
+    """The lexicon as a file in the shared checkpoint folder, named by its content, so that the same words
+    are stored once; the path, as the workers see it where that folder is mounted."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/lexicon-{hashlib.sha256(file).hexdigest()}.bin")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        part = path.suffix(f".{os.urandom(6).hex()}")
+        out = fs.create(part)
+        out.write(bytearray(file))
+        out.close()
+        fs.rename(part, path)
+    return path.toUri().getPath()
+
+
+def _encoder(path: str, file: bytes, ranks: dict[bytes, int]) -> Encoder:
+    """This process's encoder, one for each lexicon's content and only the last one kept.  The file is
+    memory-mapped, shared by all workers of a machine; where the folder is not mounted, as with an object
+    store, the broadcast copy is mapped into the worker's own memory."""
 
     def open_() -> Encoder:
-        path = os.path.join(SparkFiles.getRootDirectory(), name)
-        if not os.path.exists(path):
-            handle, part = tempfile.mkstemp(dir=os.path.dirname(path))
-            with os.fdopen(handle, "wb") as f:
-                f.write(file)
-            os.replace(part, path)
-        return Encoder(ranks, lexicon.Lexicon(path))
+        if os.path.exists(path) and os.path.getsize(path) == len(file):
+            return Encoder(ranks, lexicon.Lexicon(path))
+        own = mmap.mmap(-1, len(file))
+        own.write(file)
+        return Encoder(ranks, lexicon.Lexicon(own))
 
-    return once(name, open_)
+    return once(os.path.basename(path), open_, "lexicon-")
 
 
 def _prepared(documents: DataFrame, vocabulary: str):
     """A function that gives the encoder inside a worker."""
     ranks = read_ranks(os.path.join(TOKENIZERS, vocabulary))
     file = compile_lexicon(documents, ranks)
-    shared = documents.sparkSession.sparkContext.broadcast((f"lexicon-{os.urandom(8).hex()}.bin", file, ranks))
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast((_shared_file(spark, file), file, ranks))
     return lambda: _encoder(*shared.value)
 
 
@@ -205,6 +220,21 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
+def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, text: what the ids of (doc_id, ids) stand for.  A null list gives ''; an id the vocabulary
+    does not have is an error."""
+    ranks = read_ranks(os.path.join(TOKENIZERS, vocabulary))
+    shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = shared.value.__getitem__
+        for batch in batches:
+            texts = [b"".join(map(token, ids or ())).decode() for ids in batch["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+
+
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, through the same transducer, without building the lists."""
     encoder = _prepared(documents, vocabulary)

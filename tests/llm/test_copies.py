@@ -24,11 +24,23 @@ def test_copies(spark, clash):
     assert sorted(map(tuple, copies.found(df).collect())) == want
     assert sorted(map(tuple, copies.found(df, hot=1).collect())) == want
     assert {tuple(r) for r in copies.records(df).collect()} == {(2, 3), (3, 1), (9, 1), (12, 2)}
-    assert copies.collisions(df).count() == 0
+    assert copies.collision_check(df).first()[1:] == (4, 0)
     assert copies.feed_report(df).first()["n_copies"] == 3
     assert copies.found(df.limit(0)).count() == 0
 
 
+def test_collisions_are_kept_apart_and_told(spark):
+    rows = spark.createDataFrame([(1, 7, 7, 1), (2, 7, 7, 1), (3, 7, 7, 2), (4, 8, 7, 2)], "file_id bigint, h1 bigint, h2 bigint, check bigint")
+    assert {tuple(r)[3:] for r in copies.groups(rows).collect()} == {(1, 2), (3, 1), (4, 1)}
+    assert [tuple(r) for r in copies.colliding(rows).collect()] == [(7, 7, 2)]
+
+
+def test_two_bodies_under_one_id_count_as_one_of_them(spark):
+    df = spark.createDataFrame([(1, body("a", "x")), (1, body("b", "y")), (2, body("a", "x")), (3, body("b", "y"))], "file_id bigint, body string")
+    assert sorted(r["n_files"] for r in copies.records(df).collect()) == [1, 2]
+    assert len(copies.found(df).collect()) == 1
+
+
 def test_words_of_any_script():
     assert copies.canonical({"task_name": "É_ß 日本２", "sql": None}) == "é\x1fß\x1f日本２\x1e".encode()
 

@@ -15,7 +15,7 @@ def test_spliced_form_is_the_whole_form(text):
 
 
 def test_same_looks():
-    for a, b in (("ＡＢ＿１", "AB_1"), ("café", "café"), ("ѕсоре", "scope"), ("би́", "би́"), ("a​b­", "ab"), ("a b　c", "a b c"), ("K", "K"), ("ё", "ë"), ("biе́n", "bién"), ("µ", "μ")):
+    for a, b in (("ＡＢ＿１", "AB_1"), ("café", "café"), ("ѕсоре", "scope"), ("би́", "би́"), ("a​b­", "ab"), ("a b　c", "a b c"), ("K", "K"), ("ё", "ë"), ("biе́n", "bién"), ("µ", "μ"), ("ГПФ", "ΓΠΦ"), ("a∖b∣", "a\\b|")):
         assert la.form(a) == la.form(b), (a, b)
 
 
@@ -33,6 +33,15 @@ def test_pairs(spark, clash):
     assert {r["doc_id"]: r["canonical"] for r in la.canonical_texts(df).collect()}[6] is None
 
 
+def test_hot_looks_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(la.blocks, "BLOCK", 3)
+    spellings = ["scope", "ѕcope", "ｓcope", "ѕсope", "ѕсоpe"]
+    rows = [(i, spellings[i % 7] if i % 7 < 5 else f"other {i}") for i in range(60)]
+    want = {(a, b) for a, s in rows for b, t in rows if a < b and s != t and s in spellings and t in spellings}
+    got = list(map(tuple, la.found(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_long_text():
     text = "е́ x" * 200_000
     assert la.form(text) == "é x" * 200_000

@@ -56,7 +56,6 @@ def test_tables_of_the_project(spark, sf_dir):
 def test_large_buckets_are_split_and_finished(spark, monkeypatch):
     monkeypatch.setattr(nc, "BRUTE", 3)
     monkeypatch.setattr(nc, "BLOCK", 4)
-    monkeypatch.setattr(nc, "MOST", 4)
     r = random.Random(3)
     base = [f"b{i}" for i in range(60)]
     rows = [(i, "t", " ".join([*base[: r.randrange(50, 60)], f"x{i % 9}"])) for i in range(40)]
@@ -72,6 +71,15 @@ def test_copies_nulls_short_texts_and_repeats(spark, clash):
     assert run(spark, []) == set()
 
 
+def test_hot_classes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nc.blocks, "BLOCK", 4)
+    texts = ["a b c d e f g h i j", "a b c d e f g h i k", "p q r s t u v"]
+    rows = [(i, "t", texts[i % 3] if i % 5 else "one of a kind " * i) for i in range(45)]
+    got = nc.found(spark.createDataFrame(rows, "task_id bigint, task_name string, sql string")).collect()
+    assert len(got) == len(set(map(tuple, got)))
+    assert set(map(tuple, got)) == brute(rows)
+
+
 def test_groups_are_components(spark):
     rows = corpus(8, 40, 5)
     df = spark.createDataFrame(rows, "task_id bigint, task_name string, sql string")

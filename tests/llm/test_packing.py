@@ -76,4 +76,5 @@ def test_empty_nulls_and_clashing_columns(spark, clash):
     assert packed(spark, [(1, 0)], 100) == []
     docs = clash(spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (3, "a b c")], "doc_id bigint, text string"))
     assert [(r["used"], r["n_items"]) for r in packing.containers(docs).collect()] == [(6, 2)]
+    assert [r["n"] for r in packing.invariants(docs).collect()] == [0] * 5
     assert packing.summary(docs.limit(0)).first()["n_containers"] == 0

@@ -68,6 +68,13 @@ def test_nulls_empty_table_and_clashing_columns(spark, clash):
     assert sorted((r["doc_id"] or 0, r["ids"]) for r in got) == [(0, [64, 275]), (1, []), (2, []), (2, [])]
     assert tokens.encode(d.limit(0)).count() == 0
     assert sum(r["n_tokens"] for r in tokens.token_counts(d).collect()) == 2
+    assert sorted(r["text"] for r in tokens.decode(tokens.encode(d)).collect()) == ["", "", "", "a b"]
+
+
+def test_lexicon_of_a_folder_that_is_not_mounted():
+    file = lexicon.build([(b"ab", [1, 2])])
+    e = tokens._encoder("/nowhere/lexicon-x.bin", file, RANKS)
+    assert e.words.numbers([b"ab", b"b"]).tolist() == [0, -1]
 
 
 @pytest.mark.parametrize("chunk", [1, 10_000])
