@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomspan.operators import audit, diff, impact, insight, lineage, profile
+from loomspan.operators import audit, contract, diff, impact, insight, lineage, profile
 from loomspan.operators.queries import _P1_WITH
 from loomspan.runtime import table
 from loomspan.sources import readers
@@ -39,6 +39,11 @@ QUERIES = {
     "docs_profiles": _docs(profile.profiles),
     "docs_findings": _docs(insight.findings),
     "docs_insight_links": _docs(insight.link_counts),
+    "docs_issues": _docs(audit.issue_facts),
+    "docs_red": _docs(lambda a: audit.red_statements(audit.audit(a))),
+    "docs_conditions": _docs(lambda a: profile.conditions(a).drop("task_id", "stmt_no")),
+    "docs_contract": _on(contract.break_counts, "lineage_docs"),
+    "docs_contract_required": _on(lambda d: contract.document_breaks(d).where(r"rule = 'missing' and place rlike '^(scopes\\{\\}\\.(columns\\[\\]\\.)?)?\\w+$'").groupBy("place").agg(F.count("*").alias("n_breaks"), F.count_distinct("stmt_id").alias("n_statements")), "lineage_docs"),
     # Statements of the task corpus, analysed.
     "task_statements": _tasks(lambda a: lineage.statements(a).groupBy("status", "stmt_kind").agg(F.count("*").alias("n_statements"))),
     "task_warnings": _tasks(lambda a: lineage.warning_facts(a).groupBy("type").agg(F.count("*").alias("n_warnings"))),
@@ -46,6 +51,7 @@ QUERIES = {
     "task_column_usage": _tasks(impact.column_usage),
     "task_traces": _tasks(lambda a: impact.traces(a, "ROOT")),
     "task_downstream": _tasks(impact.feeds),
+    "task_upstream": _tasks(impact.upstream),
     "task_impact_reach": _tasks(impact.reach_of_sources),
     "task_severity": _tasks(lambda a: audit.severity_counts(audit.audit(a))),
     "task_schema_gaps": _tasks(audit.schema_gaps),
@@ -56,7 +62,13 @@ QUERIES = {
     "task_expressions": _tasks(profile.expressions),
     "task_risk": _tasks(lambda a: insight.task_risk(a).groupBy("risk").agg(F.count("*").alias("n_statements"))),
     "task_flat_lineage": _tasks(insight.flat_lineage),
-    "task_equi_keys": _tasks(insight.equi_join_keys),
+    "task_equi_keys": _tasks(lineage.equal_columns),
+    "task_first_statements": _tasks(lambda a: lineage.statements(lineage.first_statements(a))),
+    "task_scope_order": _tasks(lineage.scope_order),
+    "task_condition_fields": lambda s, d: profile.condition_fields(lineage.analyze(table(s, d, "tasks"), (c := table(s, d, "catalog_columns"))), c),
+    "task_objects": _tasks(insight.objects),
+    "task_findings": _tasks(insight.findings),
+    "task_red": _tasks(lambda a: audit.red_statements(audit.audit(a))),
     "task_input_metadata": lambda s, d: lineage.input_metadata(lineage.analyze(table(s, d, "tasks"), (c := table(s, d, "catalog_columns"))), c),
     "task_output_metadata": lambda s, d: lineage.output_metadata(lineage.analyze(table(s, d, "tasks"), (c := table(s, d, "catalog_columns"))), c),
     "task_scopes": _tasks(lineage.scope_facts),
@@ -77,6 +89,8 @@ QUERIES = {
     "audits_summary": _on(audit.record_summary, "audit_records"),
     "audits_issue_counts": _on(audit.record_issue_counts, "audit_records"),
     "audits_red_rate": _on(audit.red_rate, "audit_records"),
+    "audits_reds": _on(audit.record_reds, "audit_records"),
+    "outputs_view_issues": _on(audit.view_issues, "left_output"),
     "outputs_presence": _on(lambda l, r: diff.presence(l, r).select("statement", "n_left", "n_right"), "left_output", "right_output"),
     "files_status": _on(lambda f: readers.task_bodies(f).groupBy("status").agg(F.count("*").alias("n_files")), "task_files"),
     "files_success_rate": _on(lambda f: readers.corpus_status(readers.task_bodies(f)), "task_files"),
@@ -152,7 +166,23 @@ SELECT issue, count(DISTINCT audit_id) AS n_records, CAST(sum(n) AS BIGINT) AS n
     "audits_red_rate": """WITH r AS (SELECT DISTINCT audit_id, severity, audited_at FROM audit_records)
 SELECT strftime(audited_at, '%Y-%m') AS period, count(*) AS n_records, count(*) FILTER (WHERE severity = 'RED') AS n_red, round(count(*) FILTER (WHERE severity = 'RED') / count(*), 6) AS red_rate FROM r GROUP BY ALL""",
     "outputs_presence": "SELECT statement, count(*) FILTER (WHERE side = 'l') AS n_left, count(*) FILTER (WHERE side = 'r') AS n_right FROM (SELECT statement, 'l' AS side FROM left_output UNION ALL SELECT statement, 'r' FROM right_output) GROUP BY statement",
+    "audits_reds": """WITH r AS (SELECT DISTINCT ON (audit_id) audit_id, stmt, target, severity, list_transform(map_keys(issues), lambda k: lower(replace(trim(k), '`', ''))) AS k FROM audit_records)
+SELECT audit_id, stmt, target, CASE WHEN list_has_any(k, ['unknown_column_ref', 'field_lineage.mmd_contains_unknown']) THEN 'unknown_source' WHEN list_has_any(k, ['dangling_column_ref', 'dangling_scope_ref']) THEN 'broken_reference'
+  WHEN list_contains(k, 'root_empty_columns') THEN 'no_root_columns' WHEN list_has_any(k, ['missing_field_lineage', 'missing_scope_overview']) THEN 'missing_views'
+  WHEN list_has_any(k, ['scope_graph_dangling_edge', 'duplicate_root_columns']) THEN 'other_structural' END AS red_class FROM r WHERE severity = 'RED'""",
+    "outputs_view_issues": """WITH s AS (SELECT DISTINCT statement FROM left_output WHERE statement IS NOT NULL)
+SELECT statement, 'missing_scope_overview' AS issue FROM s WHERE statement NOT IN (SELECT statement FROM left_output WHERE path = 'views/scope_overview.mmd' AND statement IS NOT NULL)
+UNION ALL SELECT statement, 'missing_field_lineage' FROM s WHERE statement NOT IN (SELECT statement FROM left_output WHERE path = 'views/field_lineage.mmd' AND statement IS NOT NULL)
+UNION ALL SELECT DISTINCT statement, 'field_lineage.mmd_contains_unknown' FROM left_output WHERE statement IS NOT NULL AND path = 'views/field_lineage.mmd' AND contains(body, 'UNKNOWN')""",
+    "docs_contract_required": """WITH ok AS (SELECT stmt_id, payload FROM lineage_docs WHERE payload IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
+sc AS (SELECT stmt_id, json_extract(payload, '$.scopes."' || id || '"') AS x FROM (SELECT stmt_id, payload, unnest(json_keys(payload, '$.scopes')) AS id FROM ok WHERE json_type(payload, '$.scopes') = 'OBJECT')),
+col AS (SELECT stmt_id, unnest(CAST(json_extract(x, '$.columns') AS JSON[])) AS c FROM sc WHERE json_type(x) = 'OBJECT' AND json_type(x, '$.columns') = 'ARRAY'),
+gone AS (
+  SELECT stmt_id, k AS place FROM ok, (VALUES ('task_id'), ('target_table'), ('stmt_kind'), ('scope_graph'), ('scopes')) AS m(k) WHERE json_type(payload, '$.' || k) IS NULL
+  UNION ALL SELECT stmt_id, 'scopes{}.' || k FROM sc, (VALUES ('kind'), ('depends_on'), ('columns')) AS m(k) WHERE json_type(x) = 'OBJECT' AND json_type(x, '$.' || k) IS NULL
+  UNION ALL SELECT stmt_id, 'scopes{}.columns[].' || k FROM col, (VALUES ('name'), ('transform'), ('sources')) AS m(k) WHERE json_type(c) = 'OBJECT' AND json_type(c, '$.' || k) IS NULL)
+SELECT place, count(*) AS n_breaks, count(DISTINCT stmt_id) AS n_statements FROM gone GROUP BY place""",
     "files_status": "SELECT CASE WHEN body IS NULL OR NOT json_valid(body) OR json_type(body) <> 'OBJECT' THEN 'error' WHEN trim(coalesce(json_extract_string(body, '$.sql'), '')) = '' THEN 'empty' ELSE 'ok' END AS status, count(*) AS n_files FROM task_files GROUP BY 1",
-    "files_success_rate": "SELECT count(*) FILTER (WHERE ok) AS n_ok, count(*) FILTER (WHERE NOT ok) AS n_error, CAST(0 AS BIGINT) AS n_empty, round(count(*) FILTER (WHERE ok) / count(*), 6) AS success_rate FROM (SELECT body IS NOT NULL AND json_valid(body) AS ok FROM task_files)",
+    "files_success_rate": "WITH s AS (SELECT CASE WHEN body IS NULL OR NOT json_valid(body) OR json_type(body) <> 'OBJECT' THEN 'error' WHEN trim(coalesce(json_extract_string(body, '$.sql'), '')) = '' THEN 'empty' ELSE 'ok' END AS s FROM task_files) SELECT count(*) FILTER (WHERE s = 'ok') AS n_ok, count(*) FILTER (WHERE s = 'error') AS n_error, count(*) FILTER (WHERE s = 'empty') AS n_empty, round(count(*) FILTER (WHERE s = 'ok') / count(*) FILTER (WHERE s <> 'empty'), 6) AS success_rate FROM s",
     "catalog_normalized": "SELECT lower(replace(trim(table_key), '`', '')) AS table_key, lower(trim(name)) AS name, min(ordinal) AS ordinal FROM catalog_columns GROUP BY 1, 2",
 }

@@ -15,6 +15,8 @@ from loomspan.plans import trace as walk
 from loomspan.runtime import broadcast_if_small, buckets_for, stored
 
 BUCKET_EDGES = 100_000
+#: Edges of a statement that one task may hold.
+GROUP_EDGES = 200_000
 
 
 def column_usage(a: DataFrame) -> DataFrame:
@@ -81,26 +83,55 @@ def traces(a: DataFrame, scope: str | None = None) -> DataFrame:
             for stmt, own in zip(batch["stmt"].to_pylist(), batch["scopes"].to_pylist(), strict=True):
                 columns = lineage.flat_columns({"scopes": own})
                 ids = {s["scope_id"] for s in own}
+                leaves = walk.Leaves(columns, ids)
                 for at, name in dict.fromkeys((c[0], c[1]) for c in columns if scope is None or c[0] == scope):
                     visited = walk.upstream(columns, ids, at, name)["path_length"]
-                    rows += [(stmt, at, name, *leaf, visited) for leaf in dict.fromkeys(walk.to_physical(columns, ids, at, name))]
+                    rows += [(stmt, at, name, *leaf, visited) for leaf in leaves.of(at, name)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=list(names))
 
     slim = F.transform("scopes", lambda s: F.struct(s["scope_id"].alias("scope_id"), F.transform(s["columns"], lambda c: F.struct(*(c[m].alias(m) for m in ("name", "transform", "merge_branch", "sources")))).alias("columns")))
     return a.where("status = 'ok'").select("stmt", slim.alias("scopes")).mapInArrow(run, "stmt string, scope_id string, name string, leaf_scope string, leaf_column string, transform string, n_visited int")
 
 
+def upstream(a: DataFrame) -> DataFrame:
+    """The way up of every result column: stmt, name, the links walked, from a source to what it feeds, once
+    each, and whether the source is a physical column.  Narrow: each statement is walked where it lies."""
+    fields = ("stmt", "name", "from_scope", "from_column", "to_scope", "to_column", "is_physical")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 6 + [pa.bool_()]
+        for batch in batches:
+            rows = []
+            for stmt, own in zip(batch["stmt"].to_pylist(), batch["scopes"].to_pylist(), strict=True):
+                columns = lineage.flat_columns({"scopes": own})
+                ids = {s["scope_id"] for s in own}
+                for name in dict.fromkeys(c[1] for c in columns if c[0] == "ROOT"):
+                    found = walk.upstream(columns, ids, "ROOT", name)
+                    physical = set(found["physical"])
+                    rows += [(stmt, name, *a, *b, a in physical) for a, b in dict.fromkeys(found["links"])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=list(fields))
+
+    slim = F.transform("scopes", lambda s: F.struct(s["scope_id"].alias("scope_id"), F.transform(s["columns"], lambda c: F.struct(*(c[m].alias(m) for m in ("name", "transform", "merge_branch", "sources")))).alias("columns")))
+    return a.where("status = 'ok'").select("stmt", slim.alias("scopes")).mapInArrow(run, "stmt string, name string, from_scope string, from_column string, to_scope string, to_column string, is_physical boolean")
+
+
 def table_impact(a: DataFrame) -> DataFrame:
     """Per source table: statements and targets it feeds."""
     t = a.where("status = 'ok'").select("stmt", "target_table", F.explode("source_tables").alias("source_table"))
     return t.groupBy("source_table").agg(F.count_distinct("stmt").alias("n_statements"), F.count_distinct("target_table").alias("n_targets"))
 
 
-def stored_lineage(edges: DataFrame) -> DataFrame:
+def stored_lineage(edges: DataFrame, group_edges: int = GROUP_EDGES) -> DataFrame:
     """End-to-end lineage over a stored edge table: for every ROOT column of a statement its physical
-    sources.  Whole statements are packed into buckets of bounded size by hash and walked there."""
+    sources.  Whole statements are packed into buckets of bounded size by hash and walked there; one with
+    more than `group_edges` edges is spread over tasks, a round for each level."""
     once = edges.select("edge_id", "stmt_id", "to_scope", "to_column", "from_scope", "from_column", "edge_ordinal", "transform").distinct()
-    buckets = buckets_for(edges.count(), BUCKET_EDGES, 8)
+    once = once.where("stmt_id is not null")
+    sizes = edges.groupBy("stmt_id").count()
+    total, widest = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    buckets = buckets_for(total, BUCKET_EDGES, 8)
+    large = broadcast_if_small(sizes.where(F.col("count") > group_edges).select(F.col("stmt_id").alias("big")))
+    small = once if widest <= group_edges else once.join(large, F.col("stmt_id") == F.col("big"), "left_anti")
 
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
         # statement -> (scope, column, transform) -> sources, in order
@@ -118,7 +149,23 @@ def stored_lineage(edges: DataFrame) -> DataFrame:
                 out.update(dict.fromkeys((stmt, r["name"], s["scope"], s["column"]) for s in r["sources"]))
         return pd.DataFrame(list(out), columns=["stmt_id", "name", "source_table", "source_column"])
 
-    return once.where("stmt_id is not null").groupBy(F.pmod(F.xxhash64("stmt_id"), F.lit(buckets)).alias("bucket")).applyInPandas(trace, "stmt_id bigint, name string, source_table string, source_column string")
+    out = small.groupBy(F.pmod(F.xxhash64("stmt_id"), F.lit(buckets)).alias("bucket")).applyInPandas(trace, "stmt_id bigint, name string, source_table string, source_column string")
+    return out if widest <= group_edges else out.unionByName(_spread(once.join(large, F.col("stmt_id") == F.col("big"), "left_semi")))
+
+
+def _spread(edges: DataFrame) -> DataFrame:
+    """The same for statements beyond a task: all result columns go up a step a round, spread by column."""
+    e = stored(edges.where("from_scope is not null").select(F.col("stmt_id").alias("e_stmt"), F.col("to_scope").alias("e_scope"), F.coalesce("to_column", F.lit("")).alias("e_column"), F.col("from_scope").alias("up_scope"), F.coalesce("from_column", F.lit("")).alias("up_column")).distinct())
+    own = stored(edges.select(F.col("stmt_id").alias("o_stmt"), F.col("to_scope").alias("o_scope")).distinct())
+    key = ["stmt_id", "name", "scope", "column"]
+    wave = stored(edges.where("to_scope = 'ROOT'").select("stmt_id", F.coalesce("to_column", F.lit("")).alias("name"), F.col("to_scope").alias("scope"), F.coalesce("to_column", F.lit("")).alias("column")).distinct())
+    seen = wave
+    while not wave.isEmpty():
+        met = wave.join(e, (F.col("stmt_id") == F.col("e_stmt")) & (F.col("scope") == F.col("e_scope")) & (F.col("column") == F.col("e_column")))
+        wave = stored(met.select("stmt_id", "name", F.col("up_scope").alias("scope"), F.col("up_column").alias("column")).distinct().join(seen, key, "left_anti"))
+        seen = stored(seen.unionByName(wave))
+    ends = seen.where(~F.col("scope").isin(*walk.LEAVES)).join(own, (F.col("stmt_id") == F.col("o_stmt")) & (F.col("scope") == F.col("o_scope")), "left_anti")
+    return ends.select("stmt_id", "name", F.col("scope").alias("source_table"), F.col("column").alias("source_column"))
 
 
 def stored_usage(edges: DataFrame) -> DataFrame:

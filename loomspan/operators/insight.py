@@ -1,14 +1,30 @@
-"""Objects and links of a statement for exploring it, validators over them, and the flat view."""
+"""Objects and links of a statement for exploring it, validators over them, and the flat view.
+
+Objects and links are arrays of the statement row, so a corpus is read and analysed once however many
+kinds of them are asked for.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators import lineage, profile
+from loomspan.runtime import once_per_row
 
 _KEY = ("task_id", "stmt_no", "stmt")
 
+# What a column seems to be for, by pieces of its name; the first that has one counts.
+ROLES = {
+    "time_or_partition": ("dt", "date", "time", "begin", "start", "end"),
+    "identifier": ("id", "key", "code", "no", "nbr"),
+    "metric": ("amt", "amount", "cnt", "count", "num", "score", "rate", "days"),
+    "classification": ("status", "state", "type", "flag", "ind", "channel", "result"),
+}
+OTHER_ROLE = "business_field"
+
 
 def _id(kind: str, *parts: Column | str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.concat_ws(".", *parts))
@@ -16,47 +32,80 @@ def _id(kind: str, *parts: Column | str) -> Column:
 
 def field_role(name: Column) -> Column:
     """What a column seems to be for, from its name."""
-    n = F.lower(name)
-    return F.when(n.rlike("id$|_key$|_no$"), "identifier").when(n.rlike("(^|_)(dt|date|time|ts|day|month)($|_)"), "time").when(n.rlike("status|state|type|flag|level|code"), "classification").when(n.rlike("amt|amount|cnt|count|num|rate|ratio|bal|score|qty|sum|total"), "measure").otherwise("attribute")
+    n = F.lower(F.coalesce(name, F.lit("")))
+    has = lambda pieces: reduce(lambda a, b: a | b, (n.contains(p) for p in pieces))
+    return F.coalesce(*(F.when(has(pieces), role) for role, pieces in ROLES.items()), F.lit(OTHER_ROLE))
+
+
+def _root_columns() -> Column:
+    return F.coalesce(F.filter("scopes", lambda s: s["scope_id"] == "ROOT")[0]["columns"], F.array())
+
+
+def _sources() -> Column:
+    """(result column, source) of the end-to-end lineage."""
+    return F.flatten(F.transform("lineage", lambda l: F.transform(l["sources"], lambda x: F.struct(l["name"].alias("name"), x["scope"].alias("table"), x["column"].alias("column")))))
+
+
+def _object(object_id: Column, kind: str, name: Column, detail: Column) -> Column:
+    return F.struct(object_id.alias("object_id"), F.lit(kind).alias("kind"), name.alias("name"), detail.alias("detail"))
+
+
+def _object_items() -> Column:
+    c = F.col
+    condition = lambda x, i: _object(_id("rule", x["scope_id"], i.cast("string")), "rule", x["expression"], x["shape"])
+    physical = F.array_distinct(F.concat(F.transform(_sources(), lambda x: F.struct(x["table"].alias("scope"), x["column"].alias("column"))), F.flatten(F.transform(profile.condition_items(), lambda x: x["physical"]))))
+    every = F.concat(
+        F.transform("scopes", lambda s: _object(_id("scope", s["scope_id"]), "scope", s["scope_id"], lineage.role(s))),
+        F.transform(_root_columns(), lambda x: _object(_id("column", x["name"]), "column", x["name"], field_role(x["name"]))),
+        F.transform(c("source_tables"), lambda t: _object(_id("table", t), "table", t, F.lit("input"))),
+        F.array(_object(_id("table", "target_table"), "table", c("target_table"), F.lit("output"))),
+        F.transform(physical, lambda x: _object(_id("physical_column", x["scope"], x["column"]), "physical_column", F.concat_ws(".", x["scope"], x["column"]), field_role(x["column"]))),
+        F.transform(profile.condition_items(), condition),
+        # A section for each scope that does something, in the order of the scopes.
+        F.transform(_doing(), lambda s: _object(_id("section", s["scope_id"]), "section", s["scope_id"], F.concat_ws(",", profile.operations(s)))),
+        F.transform("warnings", lambda w: _object(_id("diagnostic", w["type"], w["scope_id"]), "diagnostic", w["type"], w["scope_id"])),
+    )
+    return F.array_distinct(every)
+
+
+def _doing() -> Column:
+    return F.filter("scopes", lambda s: (s["scope_id"] == "ROOT") | (F.size(F.array_except(profile.operations(s), F.array(F.lit("pass_through"), F.lit("rename")))) > 0))
+
+
+def _link(a: Column, b: Column, kind: str) -> Column:
+    return F.struct(a.alias("from_id"), b.alias("to_id"), F.lit(kind).alias("kind"))
+
+
+def _link_items() -> Column:
+    named = F.transform("scopes", lambda s: s["scope_id"])
+    node = lambda n: F.when(F.array_contains(named, n), _id("scope", n)).otherwise(_id("table", n))
+    rule = lambda x, i: _id("rule", x["scope_id"], i.cast("string"))
+    items = profile.condition_items()
+    fed = F.filter("graph_edges", lambda e: e["from_node"].isNotNull() & e["to_node"].isNotNull())
+    every = F.concat(
+        F.transform(fed, lambda e: _link(node(e["from_node"]), node(e["to_node"]), "feeds")),
+        F.transform(_root_columns(), lambda c: _link(F.lit("scope:ROOT"), _id("column", c["name"]), "produces")),
+        F.transform(_sources(), lambda x: _link(_id("column", x["name"]), _id("table", x["table"]), "derived_from")),
+        F.transform(_sources(), lambda x: _link(_id("column", x["name"]), _id("physical_column", x["table"], x["column"]), "derived_from_column")),
+        F.flatten(F.transform(items, lambda x, i: F.transform(x["physical"], lambda r: _link(rule(x, i), _id("physical_column", r["scope"], r["column"]), "uses_field")))),
+        F.transform(items, lambda x, i: _link(rule(x, i), _id("scope", x["scope_id"]), "implemented_by")),
+        F.transform(_doing(), lambda s: _link(_id("section", s["scope_id"]), _id("scope", s["scope_id"]), "references")),
+        F.transform(F.transform(items, lambda x, i: F.struct(x["scope_id"].alias("s"), rule(x, i).alias("r"))), lambda x: _link(_id("section", x["s"]), x["r"], "references")),
+        F.transform(F.filter("warnings", lambda w: F.array_contains(named, w["scope_id"])), lambda w: _link(_id("diagnostic", w["type"], w["scope_id"]), _id("scope", w["scope_id"]), "affects")),
+    )
+    return F.array_distinct(every)
 
 
 def objects(a: DataFrame) -> DataFrame:
     """stmt, object_id, kind, name, detail: scopes, result columns, tables, physical columns,
-    conditions and diagnostics."""
-    ok = a.where("status = 'ok'")
-    out = [
-        lineage.scope_facts(ok).select("stmt", _id("scope", "scope_id").alias("object_id"), F.lit("scope").alias("kind"), F.col("scope_id").alias("name"), F.col("role").alias("detail")),
-        lineage.column_facts(ok).where("scope_id = 'ROOT'").select("stmt", _id("column", "name").alias("object_id"), F.lit("column").alias("kind"), "name", field_role(F.col("name")).alias("detail")),
-        ok.select("stmt", F.explode("source_tables").alias("name")).select("stmt", _id("table", "name").alias("object_id"), F.lit("table").alias("kind"), "name", F.lit("input").alias("detail")),
-        ok.select("stmt", _id("table", "target_table").alias("object_id"), F.lit("table").alias("kind"), F.col("target_table").alias("name"), F.lit("output").alias("detail")),
-        lineage.end_to_end(ok).where("source_table is not null").select("stmt", _id("physical_column", "source_table", "source_column").alias("object_id"), F.lit("physical_column").alias("kind"), F.concat_ws(".", "source_table", "source_column").alias("name"), field_role(F.col("source_column")).alias("detail")),
-        profile.conditions(ok).select("stmt", _id("rule", "scope_id", F.col("no").cast("string")).alias("object_id"), F.lit("rule").alias("kind"), F.col("expression").alias("name"), F.col("condition_kind").alias("detail")),
-        lineage.warning_facts(ok).select("stmt", _id("diagnostic", "type", "scope_id").alias("object_id"), F.lit("diagnostic").alias("kind"), F.col("type").alias("name"), F.col("scope_id").alias("detail")),
-    ]
-    every = out[0]
-    for o in out[1:]:
-        every = every.unionByName(o)
-    return every.distinct()
+    conditions, sections and diagnostics."""
+    return a.where("status = 'ok'").select("stmt", F.explode(_object_items()).alias("o")).select("stmt", "o.*")
 
 
 def links(a: DataFrame) -> DataFrame:
-    """stmt, from_id, to_id, kind: feeds, produces, derived_from, uses_field, implemented_by, affects."""
-    ok = a.where("status = 'ok'")
-    node = lambda c: F.when(F.array_contains("names", F.col(c)), _id("scope", c)).otherwise(_id("table", c))
-    graph = ok.select("stmt", F.transform("scopes", lambda s: s["scope_id"]).alias("names"), F.explode("graph_edges").alias("e")).select("stmt", "names", "e.from_node", "e.to_node")
-    refs = profile.conditions(ok).select("stmt", "scope_id", "no", F.explode(F.split("columns", ",")).alias("ref")).where("ref <> ''")
-    out = [
-        graph.select("stmt", node("from_node").alias("from_id"), node("to_node").alias("to_id"), F.lit("feeds").alias("kind")),
-        ok.select("stmt", F.lit("scope:ROOT").alias("from_id"), _id("table", "target_table").alias("to_id"), F.lit("produces").alias("kind")),
-        lineage.end_to_end(ok).where("source_table is not null").select("stmt", _id("column", "name").alias("from_id"), _id("physical_column", "source_table", "source_column").alias("to_id"), F.lit("derived_from").alias("kind")),
-        refs.select("stmt", _id("rule", "scope_id", F.col("no").cast("string")).alias("from_id"), F.concat(F.lit("field:"), F.col("ref")).alias("to_id"), F.lit("uses_field").alias("kind")),
-        refs.select("stmt", _id("rule", "scope_id", F.col("no").cast("string")).alias("from_id"), _id("scope", "scope_id").alias("to_id"), F.lit("implemented_by").alias("kind")),
-        lineage.warning_facts(ok).select("stmt", _id("diagnostic", "type", "scope_id").alias("from_id"), _id("scope", "scope_id").alias("to_id"), F.lit("affects").alias("kind")),
-    ]
-    every = out[0]
-    for o in out[1:]:
-        every = every.unionByName(o)
-    return every.distinct()
+    """stmt, from_id, to_id, kind: feeds, produces, derived_from, derived_from_column, uses_field,
+    implemented_by, references, affects."""
+    return a.where("status = 'ok'").select("stmt", F.explode(_link_items()).alias("l")).select("stmt", "l.*")
 
 
 def link_counts(a: DataFrame) -> DataFrame:
@@ -78,26 +127,50 @@ def task_risk(a: DataFrame) -> DataFrame:
 
 
 def findings(a: DataFrame) -> DataFrame:
-    """One row per failed check of a statement: stmt, code, subject."""
+    """One row per failed check of a statement and its objects and links: stmt, code, subject."""
     ok = a.where("status = 'ok'")
+    ok = once_per_row(once_per_row(ok, "objects", _object_items()), "links", _link_items())
+    ids = F.transform("objects", lambda o: o["object_id"])
     named = F.transform("scopes", lambda s: s["scope_id"])
-    say = lambda code, subjects: ok.select("stmt", F.lit(code).alias("code"), F.explode(subjects).alias("subject"))
-    out = [
-        say("duplicate_scope_id", F.array_distinct(F.filter(named, lambda n: F.size(F.filter(named, lambda m: m == n)) > 1))),
-        say("missing_root", F.when(~F.array_contains(named, "ROOT"), F.array(F.lit("ROOT"))).otherwise(F.array().cast("array<string>"))),
-        say("branch_without_scope", F.array_except(F.flatten(F.transform("scopes", lambda s: s["branches"])), named)),
-        say("edge_from_nowhere", F.array_except(F.transform("graph_edges", lambda e: e["from_node"]), F.col("graph_nodes"))),
-        say("edge_to_nowhere", F.array_except(F.transform("graph_edges", lambda e: e["to_node"]), F.col("graph_nodes"))),
-        say("column_without_name", F.transform(F.filter("scopes", lambda s: F.exists(s["columns"], lambda c: F.coalesce(c["name"], F.lit("")) == "")), lambda s: s["scope_id"])),
-        say("join_without_right", F.transform(F.filter("scopes", lambda s: F.exists(s["joins"], lambda j: j["right_scope"].isNull())), lambda s: s["scope_id"])),
-        say("unknown_transform", F.array_distinct(F.filter(F.flatten(F.transform("scopes", lambda s: F.transform(s["columns"], lambda c: c["transform"]))), lambda t: ~t.isin(*lineage.walk.ORDER)))),
-        say("lineage_without_column", F.array_except(F.transform("lineage", lambda l: l["name"]), F.flatten(F.transform(F.filter("scopes", lambda s: s["scope_id"] == "ROOT"), lambda s: F.transform(s["columns"], lambda c: c["name"]))))),
-        say("direct_table_not_physical", F.array_except(F.array_distinct(F.flatten(F.transform("lineage", lambda l: F.transform(l["sources"], lambda s: s["scope"])))), F.concat("source_tables", F.array("target_table")))),
-    ]
-    every = out[0]
-    for o in out[1:]:
-        every = every.unionByName(o)
-    return every
+    root = F.transform(_root_columns(), lambda c: F.concat_ws("|", c["name"], c["merge_branch"]))
+    fed = F.transform("scopes", lambda s: F.array_except(s["direct_tables"], s["tables"]))
+    ends = lambda x: x["from_id"].rlike("^(table|scope):") & x["to_id"].rlike("^scope:")
+    used = F.array_distinct(F.flatten(F.transform("scopes", lambda s: s["depends_on"])))
+    first = lambda xs: F.transform(xs, lambda l: l["from_id"])
+    last = lambda xs: F.transform(xs, lambda l: l["to_id"])
+    kind = lambda k: F.filter("links", lambda l: l["kind"] == k)
+    checks = {
+        "duplicate_scope_id": F.filter(F.array_distinct(named), lambda n: F.size(F.filter(named, lambda m: m == n)) > 1),
+        "missing_root": F.when(~F.array_contains(named, "ROOT"), F.array(F.lit("ROOT"))),
+        "branch_without_scope": F.array_except(F.flatten(F.transform("scopes", lambda s: s["branches"])), named),
+        "edge_from_nowhere": F.array_except(F.transform("graph_edges", lambda e: e["from_node"]), F.col("graph_nodes")),
+        "edge_to_nowhere": F.array_except(F.transform("graph_edges", lambda e: e["to_node"]), F.col("graph_nodes")),
+        "column_without_name": F.transform(F.filter("scopes", lambda s: F.exists(s["columns"], lambda c: F.coalesce(c["name"], F.lit("")) == "")), lambda s: s["scope_id"]),
+        "join_without_right": F.transform(F.filter("scopes", lambda s: F.exists(s["joins"], lambda j: j["right_scope"].isNull())), lambda s: s["scope_id"]),
+        "unknown_transform": F.array_distinct(F.filter(F.flatten(F.transform("scopes", lambda s: F.transform(s["columns"], lambda c: c["transform"]))), lambda t: ~F.coalesce(t.isin(*lineage.walk.ORDER), F.lit(False)))),
+        "lineage_without_column": F.array_except(F.transform("lineage", lambda l: l["name"]), F.transform(_root_columns(), lambda c: F.coalesce(c["name"], F.lit("")))),
+        "output_column_count_mismatch": F.when(F.size(F.array_distinct(F.transform("lineage", lambda l: l["name"]))) != F.size(F.filter("objects", lambda o: o["kind"] == "column")), F.array(F.lit("ROOT"))),
+        "duplicate_output_column_assignment": F.filter(F.array_distinct(root), lambda n: F.size(F.filter(root, lambda m: m == n)) > 1),
+        "scope_object_count_mismatch": F.when(F.size(F.array_distinct(named)) != F.size(F.filter("objects", lambda o: o["kind"] == "scope")), F.array(F.lit("scopes"))),
+        "invalid_link": F.transform(F.filter("links", lambda l: l["from_id"].isNull() | l["to_id"].isNull()), lambda l: l["kind"]),
+        "link_source_missing": F.array_except(first(F.col("links")), ids),
+        "link_target_missing": F.array_except(last(F.col("links")), ids),
+        "invalid_feeds_link": F.transform(F.filter(kind("feeds"), lambda l: ~F.coalesce(ends(l), F.lit(False))), lambda l: F.concat_ws(" -> ", l["from_id"], l["to_id"])),
+        "rule_scope_missing": F.array_except(last(kind("implemented_by")), ids),
+        "rule_field_missing": F.array_except(last(kind("uses_field")), ids),
+        "rule_condition_missing": F.transform(F.filter(profile.condition_items(), lambda x: F.coalesce(x["expression"], F.lit("")) == ""), lambda x: x["scope_id"]),
+        "section_reference_missing": F.array_except(last(kind("references")), ids),
+        "column_table_link_missing": F.array_except(F.transform(_sources(), lambda x: _id("column", x["name"])), first(kind("derived_from"))),
+        "column_source_link_missing": F.array_except(F.transform(_sources(), lambda x: _id("physical_column", x["table"], x["column"])), last(kind("derived_from_column"))),
+        "trace_incomplete_reason_missing": F.transform(F.filter("lineage", lambda l: ~l["complete"] & (F.size(l["reasons"]) == 0)), lambda l: l["name"]),
+        "direct_table_not_physical_source": F.flatten(fed),
+        "scope_table_metadata_missing": F.array_except(F.array_distinct(F.flatten(F.transform("scopes", lambda s: s["tables"]))), F.concat("source_tables", F.array(F.coalesce("target_table", F.lit(""))))),
+        "dangling_lineage_scope": F.filter(F.array_except(named, F.concat(used, F.array(F.lit("ROOT")))), lambda n: ~F.array_contains(F.flatten(F.transform("scopes", lambda s: s["inner_scopes"])), n)),
+        "target_table_missing": F.when(F.coalesce("target_table", F.lit("")) == "", F.array(F.lit("target_table"))),
+    }
+    none = F.array().cast("array<string>")
+    every = [F.transform(F.coalesce(F.array_compact(subjects), none), lambda x, code=code: F.struct(F.lit(code).alias("code"), x.alias("subject"))) for code, subjects in checks.items()]
+    return ok.select("stmt", F.explode(F.concat(*every)).alias("f")).select("stmt", "f.*")
 
 
 def flat_lineage(a: DataFrame) -> DataFrame:
@@ -106,15 +179,6 @@ def flat_lineage(a: DataFrame) -> DataFrame:
     return e.select(*_KEY, "target_table", F.col("name").alias("target_column"), "source_table", "source_column", "transform")
 
 
-def equi_join_keys(a: DataFrame) -> DataFrame:
-    """Pairs of columns joined by equality: both sides of `x = y` in join conditions."""
-    j = lineage.join_facts(a).where("condition_expression is not null")
-    part = F.explode(F.regexp_extract_all("condition_expression", F.lit(r"([\w.`]+)\s*=\s*([\w.`]+)"), F.lit(0))).alias("p")
-    p = j.select(*_KEY, "scope_id", "join_no", part)
-    side = lambda k: F.lower(F.replace(F.trim(F.split("p", "=")[k]), F.lit("`"), F.lit("")))
-    return p.select(*_KEY, "scope_id", "join_no", side(0).alias("left_key"), side(1).alias("right_key")).where("left_key rlike '^[a-z_]' and right_key rlike '^[a-z_]'")
-
-
 def document_findings(profiles: DataFrame, documents: DataFrame) -> DataFrame:
     """Checks of written descriptions, documents(stmt, text), against their profiles: the five section headings, the
     target and its columns named, and incompleteness told: stmt, code."""

@@ -19,7 +19,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomspan.functions import jsontext
 from loomspan.functions.names import py_table_name, table_name
+from loomspan.operators import audit as faults
 from loomspan.operators import nested
+from loomspan.plans import conditions
 from loomspan.plans import scopes as plan
 from loomspan.plans import sqlparse
 from loomspan.plans import trace as walk
@@ -30,17 +32,17 @@ CATALOG_COLUMNS = 500_000
 
 _REF = "struct<scope:string,column:string>"
 _WAY = "struct<scope:string,column:string,direction:string>"
-_COLUMN = f"struct<ordinal:int,name:string,transform:string,expression:string,agg_function:string,merge_branch:string,sources:array<{_REF}>,case_branches:array<struct<when_expr:string,then_value:string>>,window:struct<partition_by:array<{_REF}>,order_by:array<{_WAY}>,function:string,frame:string>,magic_number:string,case_in_aggregate:boolean>"
-_JOIN = f"struct<join_no:int,join_type:string,left_scope:string,right_scope:string,alias_in_parent:string,condition_expression:string,condition_columns:array<{_REF}>,compares_literal:boolean>"
+_COLUMN = f"struct<ordinal:int,name:string,transform:string,expression:string,agg_function:string,merge_branch:string,sources:array<{_REF}>,case_branches:array<struct<when_expr:string,then_value:string>>,window:struct<partition_by:array<{_REF}>,order_by:array<{_WAY}>,function:string,frame:string>,magic_number:string,case_in_aggregate:boolean,is_constant:boolean>"
+_JOIN = f"struct<join_no:int,join_type:string,left_scope:string,right_scope:string,alias_in_parent:string,condition_expression:string,condition_columns:array<{_REF}>,compares_literal:boolean,shape:string,operators:array<string>,equal:array<struct<left_scope:string,left_column:string,right_scope:string,right_column:string>>,physical:array<{_REF}>>"
 _SCOPE = (
     f"struct<scope_id:string,kind:string,is_distinct:boolean,depth:int,writes_to:string,alias_in_parent:string,set_op:string,limit_text:string,grouping:string,branches:array<string>,branch_index:int,depends_on:array<string>,"
-    f"reads_scopes:array<string>,inner_scopes:array<string>,columns:array<{_COLUMN}>,joins:array<{_JOIN}>,filters:array<struct<clause:string,expression:string,columns:array<{_REF}>>>,group_by:array<{_REF}>,order_by:array<{_WAY}>,"
-    f"generators:array<struct<alias:string,function:string,expression:string,output_columns:array<string>>>>"
+    f"reads_scopes:array<string>,inner_scopes:array<string>,columns:array<{_COLUMN}>,joins:array<{_JOIN}>,filters:array<struct<clause:string,expression:string,columns:array<{_REF}>,shape:string,filter_kind:string,operators:array<string>,physical:array<{_REF}>>>,group_by:array<{_REF}>,order_by:array<{_WAY}>,"
+    f"generators:array<struct<alias:string,function:string,expression:string,output_columns:array<string>>>,order_no:int,direct_tables:array<string>,tables:array<string>>"
 )
 _LINEAGE = "struct<scope_id:string,name:string,merge_branch:string,sources:array<struct<scope:string,column:string,transform:string>>,complete:boolean,reasons:array<string>>"
 STATEMENT = (
     f"task_id string, stmt_no int, stmt string, status string, error string, target_table string, stmt_kind string, source_tables array<string>, partition_columns array<string>, "
-    f"warnings array<struct<ordinal:int,type:string,scope_id:string,msg:string>>, scopes array<{_SCOPE}>, graph_nodes array<string>, graph_edges array<struct<from_node:string,to_node:string>>, lineage array<{_LINEAGE}>"
+    f"warnings array<struct<ordinal:int,type:string,scope_id:string,msg:string>>, scopes array<{_SCOPE}>, graph_nodes array<string>, graph_edges array<struct<from_node:string,to_node:string>>, lineage array<{_LINEAGE}>, issues array<{faults.ISSUE}>"
 )
 
 
@@ -49,6 +51,26 @@ def flat_columns(record: dict) -> list[tuple]:
     return [(s["scope_id"], c["name"] or "", c["transform"], c["merge_branch"], [(r["scope"] or "UNKNOWN", r["column"] or "") for r in c["sources"]]) for s in record["scopes"] for c in s["columns"]]
 
 
+def traced(record: dict) -> dict:
+    """Adds what is walked: end-to-end lineage, the order of the scopes and the tables under each, and the
+    physical columns of every condition."""
+    scopes = record["scopes"]
+    ids = {s["scope_id"] for s in scopes}
+    columns = flat_columns(record)
+    record["lineage"] = walk.end_to_end(columns, ids)
+    leaves = walk.Leaves(columns, ids)
+    depends = {s["scope_id"]: s["depends_on"] for s in scopes}
+    order = {n: i for i, n in enumerate(walk.ordered(list(depends), [(d, s) for s, ds in depends.items() for d in ds]))}
+    for s in scopes:
+        s["order_no"] = order[s["scope_id"]]
+        s["direct_tables"] = sorted({d for d in s["depends_on"] if d not in ids})
+        s["tables"] = walk.feeding_tables(depends, s["scope_id"])
+        for x, refs in [(f, f["columns"]) for f in s["filters"]] + [(j, j["condition_columns"]) for j in s["joins"]]:
+            x["physical"] = [{"scope": a, "column": b} for a, b in walk.physical_refs(leaves, [(r["scope"] or "UNKNOWN", r["column"] or "") for r in refs])]
+    record["issues"] = faults.issues_of(record)
+    return record
+
+
 def _lookup(columns: dict[str, list[str]]):
     """Names as written first, then in compared form."""
     return lambda table: columns.get(table) or columns.get(py_table_name(table))
@@ -77,11 +99,9 @@ def analyze(tasks: DataFrame, catalog: DataFrame | None = None, task: str = "tas
                 for i, (name, text) in enumerate(zip(batch["task_id"].to_pylist(), batch["sql"].to_pylist(), strict=True)):
                     columns = {x["t"]: x["cs"] for x in own[i] or []} if joined else known
                     for record in plan.facts(name, text or "", None if columns is None else _lookup(columns)):
-                        ids = [s["scope_id"] for s in record["scopes"]]
-                        record["lineage"] = walk.end_to_end(flat_columns(record), set(ids))
                         record["graph_edges"] = [{"from_node": d, "to_node": s["scope_id"]} for s in record["scopes"] for d in s["depends_on"]]
-                        record["graph_nodes"] = sorted({*ids, *record["source_tables"], *(e["from_node"] for e in record["graph_edges"])})
-                        out.append(record)
+                        record["graph_nodes"] = sorted({*(s["scope_id"] for s in record["scopes"]), *record["source_tables"], *(e["from_node"] for e in record["graph_edges"])})
+                        out.append(traced(record))
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return source.mapInArrow(run, STATEMENT)
@@ -135,10 +155,13 @@ def document_record(stmt: str, d: dict) -> dict:
                     "ordinal": i, "name": _text(c, "name"), "transform": _text(c, "transform"), "expression": _text(c, "expression"), "agg_function": _text(c, "agg_function"), "merge_branch": _text(c, "merge_branch"),
                     "sources": [ref(x) for x in _members(c, "sources")], "case_branches": [{"when_expr": _text(x, "when_expr"), "then_value": _text(x, "then_value")} for x in _members(c, "case_branches")],
                     "window": w and {"partition_by": [ref(x) for x in _members(w, "partition_by")], "order_by": [way(x) for x in _members(w, "order_by")], "function": None, "frame": None}, "magic_number": None, "case_in_aggregate": False,
+                    "is_constant": not _members(c, "sources") and conditions.is_constant(conditions.expression(_text(c, "expression"))),
                 }
             )
-        joins = [{"join_no": i, "join_type": _text(j, "join_type"), "left_scope": _text(j, "left_scope"), "right_scope": _text(j, "right_scope"), "alias_in_parent": _text(j, "alias_in_parent"), "condition_expression": _text(j, "condition_expression"), "condition_columns": [ref(x) for x in _members(j, "condition_columns")], "compares_literal": False} for i, j in nested._entries(s.get("joins"))]
-        filters = [{"clause": clause, "expression": _text(f, "expression"), "columns": [ref(x) for x in _members(f, "columns")]} for clause, member in (("WHERE", "filters"), ("HAVING", "having")) for f in _members(s, member)]
+        said = lambda x, member: conditions.told(conditions.expression(_text(x, member)))
+        joins = [{"join_no": i, "join_type": _text(j, "join_type"), "left_scope": _text(j, "left_scope"), "right_scope": _text(j, "right_scope"), "alias_in_parent": _text(j, "alias_in_parent"), "condition_expression": _text(j, "condition_expression"), "condition_columns": [ref(x) for x in _members(j, "condition_columns")], "compares_literal": False,
+            **{k: v for k, v in said(j, "condition_expression").items() if k != "filter_kind"}, "equal": _equal(_text(j, "condition_expression"), [ref(x) for x in _members(j, "condition_columns")])} for i, j in nested._entries(s.get("joins"))]
+        filters = [{"clause": clause, "expression": _text(f, "expression"), "columns": [ref(x) for x in _members(f, "columns")], **said(f, "expression")} for clause, member in (("WHERE", "filters"), ("HAVING", "having")) for f in _members(s, member)]
         depends = _texts(s.get("depends_on"))
         scopes.append(
             {
@@ -154,8 +177,19 @@ def document_record(stmt: str, d: dict) -> dict:
         "warnings": [{"ordinal": i, "type": _text(w, "type"), "scope_id": _text(w, "scope"), "msg": _text(w, "msg")} for i, w in nested._entries(diagnostics.get("warnings"))], "scopes": scopes,
         "graph_nodes": _texts(graph.get("nodes")), "graph_edges": [{"from_node": _text(e, "from"), "to_node": _text(e, "to")} for e in _members(graph, "edges")],
     }
-    out["lineage"] = walk.end_to_end(flat_columns(out), {s["scope_id"] for s in scopes})
-    return out
+    return traced(out)
+
+
+def _equal(text: str | None, refs: list[dict]) -> list[dict]:
+    """Columns a stored condition holds equal; a side is the first of its references with that name."""
+    e = conditions.expression(text)
+    if e is None:
+        return []
+    by: dict[str, dict] = {}
+    for r in refs:
+        by.setdefault((r["column"] or "").lower(), r)
+    sides = [(by.get(a.parts[-1]), by.get(b.parts[-1])) for a, b in conditions.equalities(e)]
+    return [{"left_scope": l["scope"], "left_column": l["column"], "right_scope": r["scope"], "right_column": r["column"]} for l, r in sides if l and r]
 
 
 def _with_schema(source: DataFrame, per_table: DataFrame) -> DataFrame:
@@ -271,17 +305,24 @@ def graph_edges(a: DataFrame) -> DataFrame:
 
 def warning_facts(a: DataFrame) -> DataFrame:
     """Warnings raised while resolving, and those of the four detectors."""
-    own = a.select(*_KEY, F.explode("warnings").alias("w")).select(*_KEY, F.col("w.type").alias("type"), F.col("w.scope_id").alias("scope_id"), F.col("w.msg").alias("msg"))
-    say = lambda kind, *parts: (F.lit(kind).alias("type"), "scope_id", F.concat(*parts).alias("msg"))
-    on = join_facts(a).where("compares_literal and join_type <> 'MERGE'").select(*_KEY, *say("filter_in_join_on_clause", F.col("condition_expression")))
-    c = column_facts(a)
-    magic = c.where("magic_number is not null").select(*_KEY, *say("magic_number", F.col("name"), F.lit(": "), F.col("magic_number")))
-    mixed = c.where("case_in_aggregate").select(*_KEY, *say("complex_aggregate_with_case", F.col("name")))
-    s = _scopes(a)
-    boxes = s.where("s.kind = 'union'").select(*_KEY, F.col("s.scope_id").alias("scope_id"), F.explode("s.branches").alias("branch"))
-    reads = s.where("s.kind = 'union_branch'").select("stmt", "task_id", "stmt_no", F.col("s.scope_id").alias("branch"), F.explode(F.array_except("s.depends_on", "s.reads_scopes")).alias("table"))
-    twice = boxes.join(reads, [*_KEY, "branch"]).groupBy(*_KEY, "scope_id", "table").agg(F.count_distinct("branch").alias("n")).where("n > 1").select(*_KEY, *say("duplicate_table_in_union", F.col("table")))
-    return own.unionByName(on).unionByName(magic).unionByName(mixed).unionByName(twice)
+    return a.select(*_KEY, F.explode("warnings").alias("w")).select(*_KEY, F.col("w.type").alias("type"), F.col("w.scope_id").alias("scope_id"), F.col("w.msg").alias("msg"))
+
+
+def scope_order(a: DataFrame) -> DataFrame:
+    """Scopes in the order in which they can be computed, with the tables each reads itself and all under it."""
+    s = _scopes(a.where("status = 'ok'"))
+    return s.select(*_KEY, F.col("s.scope_id").alias("scope_id"), F.col("s.order_no").alias("order_no"), F.concat_ws(",", "s.direct_tables").alias("direct_tables"), F.concat_ws(",", "s.tables").alias("tables"))
+
+
+def equal_columns(a: DataFrame) -> DataFrame:
+    """Pairs of columns that a join holds equal."""
+    e = _under(a, "joins").select(*_KEY, "scope_id", F.col("x.join_no").alias("join_no"), F.explode("x.equal").alias("e"))
+    return e.select(*_KEY, "scope_id", "join_no", F.concat_ws(".", "e.left_scope", "e.left_column").alias("left_key"), F.concat_ws(".", "e.right_scope", "e.right_column").alias("right_key"))
+
+
+def first_statements(a: DataFrame) -> DataFrame:
+    """Of each task its first statement alone; a task without any gives none."""
+    return a.where("stmt_no = 0 and status in ('ok', 'error')")
 
 
 def stats(a: DataFrame) -> DataFrame:
@@ -330,11 +371,16 @@ def used_columns(a: DataFrame) -> DataFrame:
     return r.where(F.array_contains("source_tables", F.col("r.scope"))).select(*_KEY, F.col("r.scope").alias("table_name"), F.col("r.column").alias("column_name"))
 
 
+def _latest(c: str) -> Column:
+    """The value of the last entry that has one, by ordinal, then the greatest."""
+    return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("ordinal", c))).alias(c)
+
+
 def input_metadata(a: DataFrame, catalog: DataFrame) -> DataFrame:
     """Catalogue columns of the source tables that a statement uses: all of a table of which `*` is
     used, all of every source table if anything is UNKNOWN, else those named; tables without entry give the
     names inferred from their use, with metadata_complete false."""
-    c = catalog.select(table_name("table_key").alias("t"), F.lower("name").alias("c"), "ordinal", "type", "comment").groupBy("t", "c").agg(F.min("ordinal").alias("ordinal"), F.last("type", True).alias("type"), F.last("comment", True).alias("comment"))
+    c = catalog.select(table_name("table_key").alias("t"), F.lower("name").alias("c"), "ordinal", "type", "comment").groupBy("t", "c").agg(F.min("ordinal").alias("ordinal"), _latest("type"), _latest("comment"))
     unknown = F.exists("scopes", lambda s: F.exists(s["columns"], lambda x: F.exists(x["sources"], lambda r: r["scope"] == "UNKNOWN")))
     per = a.where("status = 'ok'").select(*_KEY, unknown.alias("unknown"), F.explode("source_tables").alias("table_name"))
     use = used_columns(a).groupBy(*_KEY, "table_name").agg(F.collect_set("column_name").alias("used"))
@@ -349,7 +395,7 @@ def output_metadata(a: DataFrame, catalog: DataFrame) -> DataFrame:
     """The target's columns: catalogue entries among the root's names, else the root's names."""
     root = column_facts(a).where("scope_id = 'ROOT'").groupBy(*_KEY, "name").agg(F.min("ordinal").alias("root_ordinal"))
     out = root.join(a.select(*_KEY, "target_table"), list(_KEY)).withColumn("t", table_name("target_table"))
-    c = catalog.select(table_name("table_key").alias("t"), F.lower("name").alias("name"), "ordinal", "type", "comment").groupBy("t", "name").agg(F.min("ordinal").alias("ordinal"), F.last("type", True).alias("type"), F.last("comment", True).alias("comment"))
+    c = catalog.select(table_name("table_key").alias("t"), F.lower("name").alias("name"), "ordinal", "type", "comment").groupBy("t", "name").agg(F.min("ordinal").alias("ordinal"), _latest("type"), _latest("comment"))
     there = c.select("t").distinct().withColumn("listed", F.lit(True))
     j = out.join(c, ["t", "name"], "left").join(there, "t", "left")
     return j.where("listed is null or ordinal is not null").select(*_KEY, "target_table", F.col("name").alias("column_name"), F.coalesce("ordinal", "root_ordinal").alias("ordinal"), "type", "comment", F.coalesce("listed", F.lit(False)).alias("metadata_complete"))

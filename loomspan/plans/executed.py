@@ -1,11 +1,17 @@
-"""Analysed statements run on Spark: the SELECT of each is executed, so what the analysis claims can
-be held against real rows.  The same text runs in DuckDB."""
+"""Statements that are analysed and then run, so what the analysis claims is held against real rows.
+
+Each text is analysed as the source of an INSERT, and the result of running it gets its column names from
+the analysis.  The same text runs in DuckDB, which names and counts the columns itself, so a wrong, missing
+or additional column shows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+from loomspan.plans import scopes as plan
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 SQL = {
     "exec_join_aggregate": """SELECT c.c_mktsegment, count(*) AS n_orders, round(sum(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderstatus = 'F' GROUP BY c.c_mktsegment""",
@@ -26,18 +32,27 @@ SQL = {
 }
 
 
+def analysed_names(spark: SparkSession, sf_dir: str, name: str, text: str) -> list[str]:
+    """The result columns of a text by its analysis."""
+    known: dict[str, list[str]] = {}
+    for t in _TABLES:
+        known[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet").columns
+    record = plan.facts(name, f"INSERT INTO run.{name} {text}", known.get)[0]
+    if record["status"] != "ok":
+        raise ValueError(f"{name}: {record['error']}")
+    return [c["name"] for s in record["scopes"] if s["scope_id"] == "ROOT" for c in s["columns"]]
+
+
 def _run(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        # Views of this call only: names carry the query, the text is the one that was analysed.
-        text = SQL[name]
-        parts = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES}
-        for t, df in parts.items():
-            df.createOrReplaceTempView(t)
-        return spark.sql(text)
+        text = SPARK.get(name, SQL[name])
+        for t in _TABLES:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        return spark.sql(text).toDF(*analysed_names(spark, sf_dir, name, text))
 
     return run
 
 
-QUERIES = {name: _run(name) for name in SQL}
-QUERIES["exec_explode"] = lambda s, d: (s.read.parquet(f"{d}/documents.parquet").createOrReplaceTempView("documents"), s.sql("SELECT doc_id, count(*) AS n_parts FROM (SELECT doc_id, explode(split(source, '_')) AS part FROM documents) t GROUP BY doc_id"))[1]
+SPARK = {"exec_explode": "SELECT doc_id, count(*) AS n_parts FROM (SELECT doc_id, explode(split(source, '_')) AS part FROM documents) t GROUP BY doc_id"}
 SQL["exec_explode"] = "SELECT doc_id, count(*) AS n_parts FROM (SELECT doc_id, unnest(string_split(source, '_')) AS part FROM documents) t GROUP BY doc_id"
+QUERIES = {name: _run(name) for name in SQL}

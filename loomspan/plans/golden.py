@@ -32,15 +32,15 @@ STATEMENTS = {
     "g15": "INSERT INTO mart.i SELECT n_nationkey AS k FROM nation INTERSECT SELECT r_regionkey FROM region",
     "g16": "INSERT INTO mart.j SELECT c.c_name FROM customer c LEFT SEMI JOIN orders o ON c.c_custkey = o.o_custkey",
 }
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
 def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = spark.createDataFrame(list(STATEMENTS.items()), "task_name string, sql string")
-    return lineage.analyze(tasks, parquet_schemas(spark, sf_dir, _TABLES))
+    return lineage.analyze(tasks, parquet_schemas(spark, sf_dir, TABLES))
 
 
-def _values(columns: str, rows: str) -> str:
+def values(columns: str, rows: str) -> str:
     return f"SELECT * FROM (VALUES {rows.strip()}) AS t({columns})"
 
 
@@ -58,22 +58,20 @@ QUERIES = {
     "window_facts": _on(lambda a: lineage.window_facts(a).select("stmt", "scope_id", "name", "function", "partition_by", "order_by")),
     "case_branches": _on(lambda a: lineage.case_facts(a).select("stmt", "name", "branch_no", "when_expr", "then_value")),
     "union_alignment": _on(lambda a: lineage.edge_facts(a).where("transform = 'UNION'").select("stmt", "to_scope", "to_column", "from_scope", "from_column")),
-    "star_materialization": _on(lambda a: lineage.edge_facts(a).where("stmt in ('g03', 'g04')").select("stmt", "to_scope", "to_column", "from_scope", "from_column", "transform")),
+    "column_sources": _on(lambda a: lineage.edge_facts(a).select("stmt", "to_scope", "to_column", "from_scope", "from_column", "transform")),
     "merge_columns": _on(lambda a: lineage.edge_facts(a).where("merge_branch is not null").select("stmt", "to_column", "merge_branch", "from_scope", "from_column", "transform")),
     "lateral_view_facts": _on(lambda a: lineage.generator_facts(a).select("stmt", "scope_id", "function", "output_columns")),
-    "leaf_constant_system": _on(lambda a: lineage.edge_facts(a).where("stmt = 'g08'").select("to_column", "transform", "from_scope", "from_column")),
-    "trace_leaves": _on(lambda a: impact.traces(a, "ROOT").where("stmt in ('g01', 'g08', 'g10')").drop("scope_id")),
-    "multi_statement": _on(lambda a: lineage.statements(a).where("task_id = 'g12'").select("stmt", "status", F.coalesce("target_table", F.lit("")).alias("target_table"), F.concat_ws(",", "partition_columns").alias("partition_columns"))),
+    "trace_leaves": _on(lambda a: impact.traces(a, "ROOT").drop("scope_id")),
+    "multi_statement": _on(lambda a: lineage.statements(a).select("stmt", "status", F.coalesce("target_table", F.lit("")).alias("target_table"), F.concat_ws(",", "partition_columns").alias("partition_columns"))),
     "warnings_by_type": _on(lambda a: lineage.warning_facts(a).groupBy("stmt", "type").agg(F.count("*").alias("n"))),
     "dangling_scopes": _on(lambda a: insight.dangling_scopes(a).select("stmt", "scope_id", "is_subquery_of")),
-    "column_usage_metadata": lambda s, d: lineage.input_metadata(analysed(s, d), parquet_schemas(s, d, _TABLES)).where("stmt in ('g01', 'g03', 'g13')").select("stmt", "table_name", "column_name", "metadata_complete"),
-    "output_metadata": lambda s, d: lineage.output_metadata(analysed(s, d), parquet_schemas(s, d, _TABLES)).where("stmt in ('g01', 'g07')").select("stmt", "column_name", "ordinal", "metadata_complete"),
-    "xref_errors": _on(lambda a: lineage.cross_reference_errors(a).select("stmt", "scope_id", "unknown_ref")),
-    "scope_stats": _on(lambda a: lineage.stats(a).where("stmt in ('g01', 'g02', 'g07')").drop("task_id", "stmt_no")),
+    "column_usage_metadata": lambda s, d: lineage.input_metadata(analysed(s, d), parquet_schemas(s, d, TABLES)).select("stmt", "table_name", "column_name", "metadata_complete"),
+    "output_metadata": lambda s, d: lineage.output_metadata(analysed(s, d), parquet_schemas(s, d, TABLES)).select("stmt", "column_name", "ordinal", "metadata_complete"),
+    "scope_stats": _on(lambda a: lineage.stats(a).drop("task_id", "stmt_no")),
 }
 
 SQL = {
-    "e2e_lineage": _values(
+    "e2e_lineage": values(
         "stmt, name, merge_branch, source_table, source_column, transform, complete, reasons",
         """
 ('g01', 'c_name', '', 'customer', 'c_name', 'DIRECT', true, ''), ('g01', 'total', '', 'orders', 'o_totalprice', 'AGGREGATE', true, ''),
@@ -96,7 +94,7 @@ SQL = {
 ('g16', 'c_name', '', 'customer', 'c_name', 'DIRECT', true, '')
 """,
     ),
-    "scope_graph": _values(
+    "scope_graph": values(
         "stmt, from_node, to_node",
         """
 ('g01', 'orders', 'cte:big'), ('g01', 'cte:big', 'ROOT'), ('g01', 'customer', 'ROOT'),
@@ -110,7 +108,7 @@ SQL = {
 ('g16', 'customer', 'ROOT'), ('g16', 'orders', 'ROOT')
 """,
     ),
-    "scope_roles": _values(
+    "scope_roles": values(
         "stmt, scope_id, kind, role, depth, set_op",
         """
 ('g01', 'cte:big', 'cte', 'filter', 1, ''), ('g01', 'ROOT', 'root', 'aggregate', 2, ''),
@@ -124,7 +122,7 @@ SQL = {
 ('g16', 'ROOT', 'root', 'join', 1, '')
 """,
     ),
-    "join_facts": _values(
+    "join_facts": values(
         "stmt, scope_id, join_type, left_scope, right_scope, condition_columns",
         """
 ('g01', 'ROOT', 'INNER', 'cte:big', 'customer', 'cte:big.o_custkey,customer.c_custkey'), ('g05', 'ROOT', 'MERGE', 'mart.t', 'subq:s', 'mart.t.id,subq:s.id'),
@@ -132,71 +130,107 @@ SQL = {
 ('g16', 'ROOT', 'LEFT_SEMI', 'customer', 'orders', 'customer.c_custkey,orders.o_custkey')
 """,
     ),
-    "filter_facts": _values(
+    "filter_facts": values(
         "stmt, scope_id, clause, expression, columns",
         """
 ('g01', 'cte:big', 'WHERE', 'o_totalprice > 1000', 'orders.o_totalprice'), ('g11', 'subq:derived_0', 'WHERE', 'o.o_custkey = c.c_custkey', 'orders.o_custkey,customer.c_custkey'),
 ('g11', 'ROOT', 'WHERE', 'EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)', '')
 """,
     ),
-    "group_facts": _values("stmt, scope_id, from_scope, from_column", "('g01', 'ROOT', 'customer', 'c_name')"),
-    "window_facts": _values("stmt, scope_id, name, function, partition_by, order_by", "('g07', 'ROOT', 'rn', 'ROW_NUMBER', 'orders.o_custkey', 'orders.o_orderdate DESC')"),
-    "case_branches": _values("stmt, name, branch_no, when_expr, then_value", "('g07', 'size_class', 0, 'o_totalprice > 5000', '''big'''), ('g07', 'size_class', 1, 'ELSE', '''small''')"),
-    "union_alignment": _values(
+    "group_facts": values("stmt, scope_id, from_scope, from_column", "('g01', 'ROOT', 'customer', 'c_name')"),
+    "window_facts": values("stmt, scope_id, name, function, partition_by, order_by", "('g07', 'ROOT', 'rn', 'ROW_NUMBER', 'orders.o_custkey', 'orders.o_orderdate DESC')"),
+    "case_branches": values("stmt, name, branch_no, when_expr, then_value", "('g07', 'size_class', 0, 'o_totalprice > 5000', '''big'''), ('g07', 'size_class', 1, 'ELSE', '''small''')"),
+    "union_alignment": values(
         "stmt, to_scope, to_column, from_scope, from_column",
         """
 ('g02', 'union:main', 'name', 'union:main:b01', 'name'), ('g02', 'union:main', 'name', 'union:main:b02', 'r_name'), ('g02', 'ROOT', 'name', 'union:main', 'name'),
 ('g15', 'union:main', 'k', 'union:main:b01', 'k'), ('g15', 'union:main', 'k', 'union:main:b02', 'r_regionkey'), ('g15', 'ROOT', 'k', 'union:main', 'k')
 """,
     ),
-    "star_materialization": _values(
+    "column_sources": values(
         "stmt, to_scope, to_column, from_scope, from_column, transform",
         """
+('g01', 'cte:big', 'o_custkey', 'orders', 'o_custkey', 'DIRECT'), ('g01', 'cte:big', 'o_totalprice', 'orders', 'o_totalprice', 'DIRECT'), ('g01', 'ROOT', 'c_name', 'customer', 'c_name', 'DIRECT'), ('g01', 'ROOT', 'total', 'cte:big', 'o_totalprice', 'AGGREGATE'),
+('g02', 'union:main:b01', 'name', 'nation', 'n_name', 'DIRECT'), ('g02', 'union:main:b02', 'r_name', 'region', 'r_name', 'DIRECT'), ('g02', 'union:main', 'name', 'union:main:b01', 'name', 'UNION'), ('g02', 'union:main', 'name', 'union:main:b02', 'r_name', 'UNION'), ('g02', 'ROOT', 'name', 'union:main', 'name', 'UNION'),
 ('g03', 'ROOT', 'r_regionkey', 'region', 'r_regionkey', 'DIRECT'), ('g03', 'ROOT', 'r_name', 'region', 'r_name', 'DIRECT'),
 ('g04', 'cte:base', '*', 'ods.src', '*', 'EXPAND_ALL'), ('g04', 'cte:base', 'id', 'ods.src', 'id', 'DIRECT'), ('g04', 'cte:base', 'v', 'ods.src', 'v', 'DIRECT'),
-('g04', 'cte:pick', 'id', 'cte:base', 'id', 'DIRECT'), ('g04', 'cte:pick', 'v', 'cte:base', 'v', 'DIRECT'), ('g04', 'ROOT', 'id', 'cte:pick', 'id', 'DIRECT')
+('g04', 'cte:pick', 'id', 'cte:base', 'id', 'DIRECT'), ('g04', 'cte:pick', 'v', 'cte:base', 'v', 'DIRECT'), ('g04', 'ROOT', 'id', 'cte:pick', 'id', 'DIRECT'),
+('g05', 'subq:s', 'id', 'supplier', 's_suppkey', 'DIRECT'), ('g05', 'subq:s', 'name', 'supplier', 's_name', 'DIRECT'), ('g05', 'ROOT', 'name', 'subq:s', 'name', 'DIRECT'), ('g05', 'ROOT', 'id', 'subq:s', 'id', 'DIRECT'), ('g05', 'ROOT', 'name', 'subq:s', 'name', 'DIRECT'), ('g05', 'ROOT', 'flag', 'CONSTANT', '\'\'n\'\'', 'CONSTANT'),
+('g06', 'udtf:w', 'word', 'events', 'props', 'EXPRESSION'), ('g06', 'ROOT', 'event_id', 'events', 'event_id', 'DIRECT'), ('g06', 'ROOT', 'word', 'udtf:w', 'word', 'DIRECT'),
+('g07', 'ROOT', 'o_orderkey', 'orders', 'o_orderkey', 'DIRECT'), ('g07', 'ROOT', 'size_class', 'orders', 'o_totalprice', 'CONDITIONAL'), ('g07', 'ROOT', 'rn', 'orders', 'o_custkey', 'WINDOW'), ('g07', 'ROOT', 'rn', 'orders', 'o_orderdate', 'WINDOW'),
+('g08', 'ROOT', 'five', 'CONSTANT', '5', 'CONSTANT'), ('g08', 'ROOT', 'd', 'SYSTEM', 'current_date', 'EXPRESSION'), ('g08', 'ROOT', 'n', 'region', '*', 'AGGREGATE'), ('g08', 'ROOT', 'ab', 'CONSTANT', 'concat(\'\'a\'\', \'\'b\'\')', 'EXPRESSION'),
+('g09', 'ROOT', 'p_name', 'part', 'p_name', 'DIRECT'), ('g09', 'ROOT', 's_name', 'supplier', 's_name', 'DIRECT'),
+('g10', 'udtf:v', 'a', 'CONSTANT', '1', 'CONSTANT'), ('g10', 'udtf:v', 'b', 'CONSTANT', '\'\'x\'\'', 'CONSTANT'), ('g10', 'ROOT', 'a', 'udtf:v', 'a', 'DIRECT'), ('g10', 'ROOT', 'b', 'udtf:v', 'b', 'DIRECT'),
+('g11', 'subq:derived_0', '_col_0', 'CONSTANT', '1', 'CONSTANT'), ('g11', 'ROOT', 'c_custkey', 'customer', 'c_custkey', 'DIRECT'), ('g12#0', 'ROOT', 'r_name', 'region', 'r_name', 'DIRECT'), ('g12#2', 'ROOT', 'n_name', 'nation', 'n_name', 'DIRECT'),
+('g13', 'ROOT', 'kind', 'ods.raw', 'payload', 'DIRECT'), ('g14', 'ROOT', 'c_name', 'customer', 'c_name', 'DIRECT'), ('g14', 'ROOT', 'o_orderkey', 'orders', 'o_orderkey', 'DIRECT'),
+('g15', 'union:main:b01', 'k', 'nation', 'n_nationkey', 'DIRECT'), ('g15', 'union:main:b02', 'r_regionkey', 'region', 'r_regionkey', 'DIRECT'), ('g15', 'union:main', 'k', 'union:main:b01', 'k', 'UNION'), ('g15', 'union:main', 'k', 'union:main:b02', 'r_regionkey', 'UNION'), ('g15', 'ROOT', 'k', 'union:main', 'k', 'UNION'),
+('g16', 'ROOT', 'c_name', 'customer', 'c_name', 'DIRECT')
 """,
     ),
-    "merge_columns": _values(
+    "merge_columns": values(
         "stmt, to_column, merge_branch, from_scope, from_column, transform",
         """
 ('g05', 'name', 'matched', 'subq:s', 'name', 'DIRECT'), ('g05', 'id', 'not_matched', 'subq:s', 'id', 'DIRECT'), ('g05', 'name', 'not_matched', 'subq:s', 'name', 'DIRECT'), ('g05', 'flag', 'not_matched', 'CONSTANT', '''n''', 'CONSTANT')
 """,
     ),
-    "lateral_view_facts": _values("stmt, scope_id, function, output_columns", "('g06', 'udtf:w', 'explode', 'word')"),
-    "leaf_constant_system": _values(
-        "to_column, transform, from_scope, from_column",
-        "('five', 'CONSTANT', 'CONSTANT', '5'), ('d', 'EXPRESSION', 'SYSTEM', 'current_date'), ('n', 'AGGREGATE', 'region', '*'), ('ab', 'EXPRESSION', 'CONSTANT', 'concat(''a'', ''b'')')",
-    ),
-    "trace_leaves": _values(
+    "lateral_view_facts": values("stmt, scope_id, function, output_columns", "('g06', 'udtf:w', 'explode', 'word')"),
+    "trace_leaves": values(
         "stmt, name, leaf_scope, leaf_column, transform, n_visited",
         """
-('g01', 'c_name', 'customer', 'c_name', 'DIRECT', 2), ('g01', 'total', 'orders', 'o_totalprice', 'AGGREGATE', 3), ('g08', 'five', 'CONSTANT', '5', 'CONSTANT', 2), ('g08', 'd', 'SYSTEM', 'current_date', 'EXPRESSION', 2),
-('g08', 'n', 'region', '*', 'AGGREGATE', 2), ('g08', 'ab', 'CONSTANT', 'concat(\'\'a\'\', \'\'b\'\')', 'EXPRESSION', 2), ('g10', 'a', 'CONSTANT', '1', 'DIRECT', 3), ('g10', 'b', 'CONSTANT', '\'\'x\'\'', 'DIRECT', 3)
+('g01', 'c_name', 'customer', 'c_name', 'DIRECT', 2), ('g01', 'total', 'orders', 'o_totalprice', 'AGGREGATE', 3), ('g02', 'name', 'nation', 'n_name', 'UNION', 6), ('g02', 'name', 'region', 'r_name', 'UNION', 6),
+('g03', 'r_regionkey', 'region', 'r_regionkey', 'DIRECT', 2), ('g03', 'r_name', 'region', 'r_name', 'DIRECT', 2), ('g04', 'id', 'ods.src', 'id', 'DIRECT', 4),
+('g05', 'name', 'supplier', 's_name', 'DIRECT', 3), ('g05', 'id', 'supplier', 's_suppkey', 'DIRECT', 3), ('g05', 'flag', 'CONSTANT', '\'\'n\'\'', 'CONSTANT', 2),
+('g06', 'event_id', 'events', 'event_id', 'DIRECT', 2), ('g06', 'word', 'events', 'props', 'EXPRESSION', 3), ('g07', 'o_orderkey', 'orders', 'o_orderkey', 'DIRECT', 2), ('g07', 'size_class', 'orders', 'o_totalprice', 'CONDITIONAL', 2),
+('g07', 'rn', 'orders', 'o_custkey', 'WINDOW', 3), ('g07', 'rn', 'orders', 'o_orderdate', 'WINDOW', 3), ('g08', 'five', 'CONSTANT', '5', 'CONSTANT', 2), ('g08', 'd', 'SYSTEM', 'current_date', 'EXPRESSION', 2),
+('g08', 'n', 'region', '*', 'AGGREGATE', 2), ('g08', 'ab', 'CONSTANT', 'concat(\'\'a\'\', \'\'b\'\')', 'EXPRESSION', 2), ('g09', 'p_name', 'part', 'p_name', 'DIRECT', 2), ('g09', 's_name', 'supplier', 's_name', 'DIRECT', 2),
+('g10', 'a', 'CONSTANT', '1', 'DIRECT', 3), ('g10', 'b', 'CONSTANT', '\'\'x\'\'', 'DIRECT', 3), ('g11', 'c_custkey', 'customer', 'c_custkey', 'DIRECT', 2), ('g12#0', 'r_name', 'region', 'r_name', 'DIRECT', 2), ('g12#2', 'n_name', 'nation', 'n_name', 'DIRECT', 2),
+('g13', 'kind', 'ods.raw', 'payload', 'DIRECT', 2), ('g14', 'c_name', 'customer', 'c_name', 'DIRECT', 2), ('g14', 'o_orderkey', 'orders', 'o_orderkey', 'DIRECT', 2),
+('g15', 'k', 'nation', 'n_nationkey', 'UNION', 6), ('g15', 'k', 'region', 'r_regionkey', 'UNION', 6), ('g16', 'c_name', 'customer', 'c_name', 'DIRECT', 2)
+""",
+    ),
+    "multi_statement": values(
+        "stmt, status, target_table, partition_columns",
+        """
+('g01', 'ok', 'mart.x', ''), ('g02', 'ok', 'mart.u', ''), ('g03', 'ok', 'mart.s', ''), ('g04', 'ok', 'mart.m', ''), ('g05', 'ok', 'mart.t', ''), ('g06', 'ok', 'mart.l', ''), ('g07', 'ok', 'mart.w', ''), ('g08', 'ok', 'mart.k', ''),
+('g09', 'ok', 'mart.d', ''), ('g10', 'ok', 'mart.v', ''), ('g11', 'ok', 'mart.e', ''), ('g12#0', 'ok', 'mart.a1', ''), ('g12#1', 'error', '', ''), ('g12#2', 'ok', 'mart.a3', 'dt'), ('g13', 'ok', 'mart.f', ''), ('g14', 'ok', 'mart.q', ''),
+('g15', 'ok', 'mart.i', ''), ('g16', 'ok', 'mart.j', '')
 """,
     ),
-    "multi_statement": _values("stmt, status, target_table, partition_columns", "('g12#0', 'ok', 'mart.a1', ''), ('g12#1', 'error', '', ''), ('g12#2', 'ok', 'mart.a3', 'dt')"),
-    "warnings_by_type": _values(
+    "warnings_by_type": values(
         "stmt, type, n",
         """
 ('g04', 'star_not_expanded', 1::BIGINT), ('g07', 'magic_number', 1::BIGINT), ('g08', 'magic_number', 1::BIGINT), ('g09', 'duplicate_alias', 4::BIGINT), ('g12#1', 'PARSE_ERROR', 1::BIGINT), ('g14', 'filter_in_join_on_clause', 1::BIGINT)
 """,
     ),
-    "dangling_scopes": _values("stmt, scope_id, is_subquery_of", "('g11', 'subq:derived_0', true)"),
-    "column_usage_metadata": _values(
+    "dangling_scopes": values("stmt, scope_id, is_subquery_of", "('g11', 'subq:derived_0', true)"),
+    "column_usage_metadata": values(
         "stmt, table_name, column_name, metadata_complete",
         """
-('g01', 'customer', 'c_name', true), ('g01', 'customer', 'c_custkey', true), ('g01', 'orders', 'o_custkey', true), ('g01', 'orders', 'o_totalprice', true),
-('g03', 'region', 'r_regionkey', true), ('g03', 'region', 'r_name', true), ('g13', 'ods.raw', 'payload', false)
+('g01', 'customer', 'c_name', true), ('g01', 'customer', 'c_custkey', true), ('g01', 'orders', 'o_custkey', true), ('g01', 'orders', 'o_totalprice', true), ('g02', 'nation', 'n_name', true), ('g02', 'region', 'r_name', true),
+('g03', 'region', 'r_regionkey', true), ('g03', 'region', 'r_name', true), ('g04', 'ods.src', '*', false), ('g04', 'ods.src', 'id', false), ('g04', 'ods.src', 'v', false), ('g05', 'supplier', 's_suppkey', true), ('g05', 'supplier', 's_name', true),
+('g06', 'events', 'event_id', true), ('g06', 'events', 'props', true), ('g07', 'orders', 'o_orderkey', true), ('g07', 'orders', 'o_totalprice', true), ('g07', 'orders', 'o_custkey', true), ('g07', 'orders', 'o_orderdate', true),
+('g08', 'region', 'r_regionkey', true), ('g08', 'region', 'r_name', true), ('g09', 'part', 'p_name', true), ('g09', 'part', 'p_partkey', true), ('g09', 'supplier', 's_name', true), ('g09', 'supplier', 's_suppkey', true),
+('g11', 'customer', 'c_custkey', true), ('g11', 'orders', 'o_custkey', true), ('g12#0', 'region', 'r_name', true), ('g12#2', 'nation', 'n_name', true), ('g13', 'ods.raw', 'payload', false),
+('g14', 'customer', 'c_name', true), ('g14', 'customer', 'c_custkey', true), ('g14', 'orders', 'o_orderkey', true), ('g14', 'orders', 'o_custkey', true), ('g14', 'orders', 'o_orderstatus', true), ('g15', 'nation', 'n_nationkey', true), ('g15', 'region', 'r_regionkey', true),
+('g16', 'customer', 'c_name', true), ('g16', 'customer', 'c_custkey', true), ('g16', 'orders', 'o_custkey', true)
 """,
     ),
-    "output_metadata": _values(
+    "output_metadata": values(
         "stmt, column_name, ordinal, metadata_complete",
-        "('g01', 'c_name', 0, false), ('g01', 'total', 1, false), ('g07', 'o_orderkey', 0, false), ('g07', 'size_class', 1, false), ('g07', 'rn', 2, false)",
+        """
+('g01', 'c_name', 0, false), ('g01', 'total', 1, false), ('g02', 'name', 0, false), ('g03', 'r_regionkey', 0, false), ('g03', 'r_name', 1, false), ('g04', 'id', 0, false), ('g05', 'name', 0, false), ('g05', 'id', 1, false), ('g05', 'flag', 3, false),
+('g06', 'event_id', 0, false), ('g06', 'word', 1, false), ('g07', 'o_orderkey', 0, false), ('g07', 'size_class', 1, false), ('g07', 'rn', 2, false), ('g08', 'five', 0, false), ('g08', 'd', 1, false), ('g08', 'n', 2, false), ('g08', 'ab', 3, false),
+('g09', 'p_name', 0, false), ('g09', 's_name', 1, false), ('g10', 'a', 0, false), ('g10', 'b', 1, false), ('g11', 'c_custkey', 0, false), ('g12#0', 'r_name', 0, false), ('g12#2', 'n_name', 0, false), ('g13', 'kind', 0, false),
+('g14', 'c_name', 0, false), ('g14', 'o_orderkey', 1, false), ('g15', 'k', 0, false), ('g16', 'c_name', 0, false)
+""",
     ),
-    "xref_errors": "SELECT * FROM (VALUES ('', '', '')) AS t(stmt, scope_id, unknown_ref) WHERE false",
-    "scope_stats": _values(
+    "scope_stats": values(
         "stmt, scope_count, physical_table_count, cte_count, subquery_count, union_count, union_branch_count, max_depth, case_when_count, window_function_count, join_count, aggregate_function_count",
-        "('g01', 4, 2, 1, 0, 0, 0, 2, 0, 0, 1, 1), ('g02', 6, 2, 0, 0, 1, 2, 3, 0, 0, 0, 0), ('g07', 2, 1, 0, 0, 0, 0, 1, 1, 1, 0, 0)",
+        """
+('g01', 4, 2, 1, 0, 0, 0, 2, 0, 0, 1, 1), ('g02', 6, 2, 0, 0, 1, 2, 3, 0, 0, 0, 0), ('g03', 2, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0), ('g04', 4, 1, 2, 0, 0, 0, 3, 0, 0, 0, 0), ('g05', 4, 2, 0, 1, 0, 0, 2, 0, 0, 1, 0),
+('g06', 3, 1, 0, 1, 0, 0, 2, 0, 0, 0, 0), ('g07', 2, 1, 0, 0, 0, 0, 1, 1, 1, 0, 0), ('g08', 2, 1, 0, 0, 0, 0, 1, 0, 0, 0, 1), ('g09', 3, 2, 0, 0, 0, 0, 1, 0, 0, 1, 0), ('g10', 2, 0, 0, 1, 0, 0, 2, 0, 0, 0, 0),
+('g11', 3, 1, 0, 1, 0, 0, 1, 0, 0, 0, 0), ('g12#0', 2, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0), ('g12#2', 2, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0), ('g13', 2, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0), ('g14', 3, 2, 0, 0, 0, 0, 1, 0, 0, 1, 0),
+('g15', 6, 2, 0, 0, 1, 2, 3, 0, 0, 0, 0), ('g16', 3, 2, 0, 0, 0, 0, 1, 0, 0, 1, 0)
+""",
     ),
 }

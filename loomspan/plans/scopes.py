@@ -14,15 +14,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from loomspan.plans import conditions
+from loomspan.plans.conditions import RUNTIME
 from loomspan.plans.sqlparse import COMPARISONS, Node, SqlError, parse, split
 
-# Aggregate functions by name, and functions whose value comes from the run itself.
+# Aggregate functions by name.
 AGGREGATES = frozenset(
     """count sum avg mean max min collect_set collect_list percentile percentile_approx approx_percentile histogram_numeric approx_count_distinct stddev stddev_pop
     stddev_samp std variance var_pop var_samp corr covar_pop covar_samp first last first_value last_value any_value count_if bool_and bool_or every some bit_and bit_or
     bit_xor skewness kurtosis max_by min_by array_agg median mode regr_count regr_slope regr_intercept regr_r2 regr_avgx regr_avgy grouping grouping_id listagg string_agg try_sum try_avg""".split()
 )
-RUNTIME = frozenset("current_date current_timestamp current_time now rand random uuid unix_timestamp localtimestamp current_user".split())
 GENERATORS = frozenset("explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
 SUMMARIES = frozenset("sum count max min avg".split())
 PLAIN_NUMBERS = frozenset(("0", "1", "-1", "100"))
@@ -40,6 +41,7 @@ class Column:
         self.window = extra.get("window")
         self.magic = extra.get("magic")
         self.case_in_aggregate = extra.get("case_in_aggregate", False)
+        self.constant = extra.get("constant", False)
 
 
 class Scope:
@@ -172,6 +174,10 @@ class Analysis:
             scope.orders += [(*r, way) for r in self.order_refs(e, ctx)]
         return scope
 
+    def equal(self, e: Node, ctx: Context, env: dict[str, Scope]) -> list[tuple[Ref, Ref]]:
+        """Pairs of columns a condition holds equal, resolved."""
+        return [(self.refs(a, ctx, env)[0], self.refs(b, ctx, env)[0]) for a, b in conditions.equalities(e)]
+
     def order_refs(self, e: Node, ctx: Context) -> list[Ref]:
         if e.kind == "literal" and e.type == "number" and e.text.isdigit():
             at = int(e.text) - 1
@@ -227,7 +233,7 @@ class Analysis:
         self.register(scope, base)
         if body.rows:
             for i, e in enumerate(body.rows[0]):
-                scope.columns.append(Column(f"_col_{i}", "CONSTANT" if e.kind == "literal" else "EXPRESSION", self.slice(e), [("CONSTANT", self.slice(e))]))
+                scope.columns.append(Column(f"_col_{i}", "CONSTANT" if e.kind == "literal" else "EXPRESSION", self.slice(e), [("CONSTANT", self.slice(e))], constant=conditions.is_constant(e)))
 
     def relation(self, r: Node, ctx: Context, env: dict[str, Scope]) -> list[Source]:
         if r.what == "group":
@@ -322,10 +328,10 @@ class Analysis:
             for name in x.using:
                 refs += [(y.id, name) for y in [ctx.sources[0], *right]]
             text = self.slice(x.on) if x.on else ("using(" + ", ".join(x.using) + ")" if x.using else None)
-            scope.joins.append({"join_type": x.how, "left_scope": first, "right_scope": right[0].id if right else None, "alias": right[0].alias if right else None, "condition": text, "refs": refs, "literal": bool(x.on and compares_literal(x.on))})
+            scope.joins.append({"join_type": x.how, "left_scope": first, "right_scope": right[0].id if right else None, "alias": right[0].alias if right else None, "condition": text, "refs": refs, "literal": bool(x.on and compares_literal(x.on)), "said": conditions.told(x.on), "equal": self.equal(x.on, ctx, env) if x.on else [(r, (y.id, n)) for n in x.using for y in right for r in refs[:1] if r[1] == n]})
         for clause, e in (("WHERE", s.where), ("HAVING", s.having), ("QUALIFY", s.qualify)):
             if e is not None:
-                scope.filters.append((clause, self.slice(e), self.refs(e, ctx, env)))
+                scope.filters.append((clause, self.slice(e), self.refs(e, ctx, env), conditions.told(e)))
         for e in s.group:
             if e.kind == "literal" and e.type == "number" and e.text.isdigit() and 0 < int(e.text) <= len(items):
                 e = items[int(e.text) - 1].expr
@@ -382,6 +388,7 @@ class Analysis:
                 "function": core.call.name.upper(), "frame": spec.frame,
             }
         extra["magic"] = magic_number(e)
+        extra["constant"] = conditions.is_constant(core)
         ctx.scope.columns.append(Column(name, transform, None if transform == "DIRECT" else self.slice(e), self.leaf_refs(core, ctx, transform, env), **extra))
 
     def transform_of(self, e: Node) -> str:
@@ -589,8 +596,7 @@ class Analysis:
                 above = above.parent
         for s in tables:
             if s.columns is None:
-                if len(ctx.sources) > 1 or not self.has_schema or True:
-                    self.warn("unresolved_unqualified_no_schema", ctx.scope, f"{name} is taken from {s.id}")
+                self.warn("unresolved_unqualified_no_schema", ctx.scope, f"{name} is taken from {s.id}")
                 return s.id, name
         open_ = [s for s in chosen if s.scope.stars]
         if open_:
@@ -613,7 +619,7 @@ class Analysis:
         ctx.sources = [*using, target]
         for a in m.actions:
             if a.condition is not None:
-                root.filters.append(("WHEN", self.slice(a.condition), self.refs(a.condition, ctx, {})))
+                root.filters.append(("WHEN", self.slice(a.condition), self.refs(a.condition, ctx, {}), conditions.told(a.condition)))
             if a.what == "delete":
                 self.warn("merge_delete_ignored", root, f"WHEN {a.branch.upper()} THEN DELETE gives no column")
             elif a.what.endswith("_star"):
@@ -625,7 +631,7 @@ class Analysis:
             for name, e in a.pairs:
                 self.add(name, e, ctx, {}, a.branch)
         self.dedupe(root)
-        root.joins.append({"join_type": "MERGE", "left_scope": m.target, "right_scope": using[0].id, "alias": using[0].alias, "condition": self.slice(m.on), "refs": self.refs(m.on, ctx, {}), "literal": compares_literal(m.on)})
+        root.joins.append({"join_type": "MERGE", "left_scope": m.target, "right_scope": using[0].id, "alias": using[0].alias, "condition": self.slice(m.on), "refs": self.refs(m.on, ctx, {}), "literal": compares_literal(m.on), "said": conditions.told(m.on), "equal": self.equal(m.on, ctx, {})})
         root.writes_to = m.target
         self.register(root, "ROOT")
 
@@ -737,15 +743,35 @@ def describe(task_id: str, no: int, several: int, a: Analysis) -> dict:
                         "ordinal": i, "name": c.name, "transform": c.transform, "expression": c.expression, "agg_function": c.agg_function, "merge_branch": c.merge_branch,
                         "sources": [ref(r) for r in c.sources], "case_branches": [{"when_expr": w, "then_value": t} for w, t in c.case_branches],
                         "window": c.window and {"partition_by": [ref(r) for r in c.window["partition_by"]], "order_by": [{"scope": r[0], "column": r[1], "direction": r[2]} for r in c.window["order_by"]], "function": c.window["function"], "frame": c.window["frame"]},
-                        "magic_number": c.magic, "case_in_aggregate": c.case_in_aggregate,
+                        "magic_number": c.magic, "case_in_aggregate": c.case_in_aggregate, "is_constant": c.constant,
                     }
                     for i, c in enumerate(x.columns)
                 ],
-                "joins": [{"join_no": i, "join_type": j["join_type"], "left_scope": j["left_scope"], "right_scope": j["right_scope"], "alias_in_parent": j["alias"], "condition_expression": j["condition"], "condition_columns": [ref(r) for r in j["refs"]], "compares_literal": j["literal"]} for i, j in enumerate(x.joins)],
-                "filters": [{"clause": c, "expression": t, "columns": [ref(r) for r in rs]} for c, t, rs in x.filters],
+                "joins": [{"join_no": i, "join_type": j["join_type"], "left_scope": j["left_scope"], "right_scope": j["right_scope"], "alias_in_parent": j["alias"], "condition_expression": j["condition"], "condition_columns": [ref(r) for r in j["refs"]], "compares_literal": j["literal"],
+                    "shape": j["said"]["shape"], "operators": j["said"]["operators"], "equal": [{"left_scope": l[0], "left_column": l[1], "right_scope": r[0], "right_column": r[1]} for l, r in j["equal"]]} for i, j in enumerate(x.joins)],
+                "filters": [{"clause": c, "expression": t, "columns": [ref(r) for r in rs], **said} for c, t, rs, said in x.filters],
                 "group_by": [ref(r) for r in x.groups],
                 "order_by": [{"scope": r[0], "column": r[1], "direction": r[2]} for r in x.orders],
                 "generators": [{"alias": g[0], "function": g[1], "expression": g[2], "output_columns": g[3]} for g in x.generators],
             }
         )
+    out["warnings"] += [{"ordinal": i, "type": k, "scope_id": at, "msg": m} for i, (k, at, m) in enumerate(detected(out), len(out["warnings"]))]
+    return out
+
+
+def detected(record: dict) -> list[tuple[str, str, str]]:
+    """What the four detectors find in a statement: (type, scope, message)."""
+    out = []
+    by_id = {s["scope_id"]: s for s in record["scopes"]}
+    for s in record["scopes"]:
+        out += [("filter_in_join_on_clause", s["scope_id"], j["condition_expression"]) for j in s["joins"] if j["compares_literal"] and j["join_type"] != "MERGE"]
+        out += [("magic_number", s["scope_id"], f"{c['name']}: {c['magic_number']}") for c in s["columns"] if c["magic_number"] is not None]
+        out += [("complex_aggregate_with_case", s["scope_id"], c["name"]) for c in s["columns"] if c["case_in_aggregate"]]
+        if s["kind"] == "union":
+            times: dict[str, int] = {}
+            for b in s["branches"]:
+                own = by_id[b]
+                for t in sorted(set(own["depends_on"]) - set(own["reads_scopes"])):
+                    times[t] = times.get(t, 0) + 1
+            out += [("duplicate_table_in_union", s["scope_id"], t) for t, n in times.items() if n > 1]
     return out

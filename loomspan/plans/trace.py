@@ -78,39 +78,51 @@ def _descend(start: tuple[str, str, int], step, on_cycle) -> None:
 
 
 def to_physical(columns: list[tuple], scopes: set[str], scope: str, name: str) -> list[tuple[str, str, str]]:
+    return Leaves(columns, scopes).of(scope, name)
+
+
+class Leaves:
     """Leaves of one column as (scope, column, transform), constants and system values kept; a
     wildcard passes the requested name on, and a request for `*` opens every named column.  Each leaf
     comes once for each transform it is reached by."""
-    table: dict[tuple, list] = {}
-    upstream: dict[str, dict[str, None]] = {}
-    for at, column, transform, _, sources in columns:
-        table.setdefault((at, column), []).append((transform, sources))
-        upstream.setdefault(at, {}).update(dict.fromkeys(s for s, _ in sources))
-    by_scope: dict[str, list[tuple]] = {}
-    for (at, column), own in table.items():
-        by_scope.setdefault(at, []).extend((column, t, sources) for t, sources in own)
-    out: list[tuple[str, str, str]] = []
-
-    def step(at: str, column: str, rank: int, first: bool) -> list[tuple] | None:
-        if at in LEAVES or at not in scopes:
-            if at != "UNKNOWN":
-                out.append((at, column, ORDER[rank]))
+
+    def __init__(self, columns: list[tuple], scopes: set[str]):
+        self.scopes = scopes
+        self.table: dict[tuple, list] = {}
+        self.by_scope: dict[str, list[tuple]] = {}
+        self.over: dict[str, dict[str, None]] = {}
+        self.known: dict[tuple, list] = {}
+        for at, column, transform, _, sources in columns:
+            self.table.setdefault((at, column), []).append((transform, sources))
+            self.by_scope.setdefault(at, []).append((transform, sources))
+            self.over.setdefault(at, {}).update(dict.fromkeys(s for s, _ in sources))
+
+    def of(self, scope: str, name: str) -> list[tuple[str, str, str]]:
+        if (scope, name) in self.known:
+            return self.known[scope, name]
+        out: dict[tuple[str, str, str], None] = {}
+
+        def step(at: str, column: str, rank: int, first: bool) -> list[tuple] | None:
+            if at in LEAVES or at not in self.scopes:
+                if at != "UNKNOWN":
+                    out.setdefault((at, column, ORDER[rank]))
+                return None
+            every = self.by_scope.get(at, [])
+            if column == "*":
+                named = [sources for t, sources in every if t != "EXPAND_ALL"]
+                return [(s, c, rank) for sources in named or [sources for _, sources in every] for s, c in sources]
+            if (at, column) in self.table:
+                return [(s, c, max(rank, RANK.get(t, 0))) for t, sources in self.table[at, column] for s, c in sources]
+            wild = [x for t, sources in every if t == "EXPAND_ALL" for x in sources]
+            if wild:
+                return [(s, column if c == "*" else c, max(rank, RANK["EXPAND_ALL"])) for s, c in wild]
+            if at != "ROOT" and len(self.over.get(at, {})) == 1:
+                return [(next(iter(self.over[at])), column, rank)]
             return None
-        every = by_scope.get(at, [])
-        if column == "*":
-            named = [sources for _, t, sources in every if t != "EXPAND_ALL"]
-            return [(s, c, rank) for sources in named or [sources for _, _, sources in every] for s, c in sources]
-        if (at, column) in table:
-            return [(s, c, max(rank, RANK.get(t, 0))) for t, sources in table[at, column] for s, c in sources]
-        wild = [x for _, t, sources in every if t == "EXPAND_ALL" for x in sources]
-        if wild:
-            return [(s, column if c == "*" else c, max(rank, RANK["EXPAND_ALL"])) for s, c in wild]
-        if at != "ROOT" and len(upstream.get(at, {})) == 1:
-            return [(next(iter(upstream[at])), column, rank)]
-        return None
-
-    _descend((scope, name, 0), step, lambda: None)
-    return list(dict.fromkeys(out))
+
+        _descend((scope, name, 0), step, lambda: None)
+        self.known[scope, name] = list(out)
+        return self.known[scope, name]
 
 
 def upstream(columns: list[tuple], scopes: set[str], scope: str, name: str) -> dict:
@@ -164,9 +176,6 @@ def feeding_tables(depends: dict[str, list[str]], scope: str) -> list[str]:
     return sorted(out)
 
 
-def physical_refs(columns: list[tuple], scopes: set[str], refs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+def physical_refs(leaves: Leaves, refs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """The physical columns that references of a scope stand for, in order and once each."""
-    out: dict[tuple[str, str], None] = {}
-    for scope, column in refs:
-        out.update(dict.fromkeys((s, c) for s, c, _ in to_physical(columns, scopes, scope, column) if s not in LEAVES))
-    return list(out)
+    return list(dict.fromkeys((s, c) for scope, column in refs for s, c, _ in leaves.of(scope, column) if s not in LEAVES))

@@ -26,9 +26,9 @@ _TABLE = ("table_name", "table", "tablename")
 _NAME = ("column_name", "column", "name")
 _TYPE = ("type", "data_type", "column_type")
 _COMMENT = ("comment", "column_comment")
-_CN = ("table_name_cn", "name_cn", "cn_name", "comment")
-_DESC = ("table_desc", "desc", "description", "comment")
-_LAYER = ("table_label_layer", "label_layer", "layer")
+_CN = ("table_name_cn", "name_cn", "table_comment", "cn_name", "comment")
+_DESC = ("table_desc", "description", "desc", "comment")
+_LAYER = ("table_label_layer", "layer", "data_layer", "label_layer")
 
 
 def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
