@@ -6,6 +6,7 @@ the value.  Of members with the same name the last one holds.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from decimal import Decimal, InvalidOperation
 
@@ -82,3 +83,56 @@ def comparable(value):
     if value is None:
         return ("z",)
     return ("s", value)
+
+
+def digest(text: str | None) -> bytes | None:
+    """128 bits of a text's JSON value, the same for texts of one value in the sense of `comparable`; None if
+    it is not JSON."""
+    ok, value = parse(text)
+    if not ok:
+        return None
+    h = hashlib.blake2b(digest_size=16)
+    _feed(comparable_text(value), h)
+    return h.digest()
+
+
+def _feed(parts, h) -> None:
+    for p in parts:
+        h.update(p.encode("utf-8", "surrogatepass"))
+
+
+def comparable_text(value):
+    """The pieces of a text that two JSON values share exactly if `comparable` finds them equal."""
+    if isinstance(value, dict):
+        yield "{"
+        for k in sorted(value):
+            yield json.dumps(k) + ":"
+            yield from comparable_text(value[k])
+            yield ","
+        yield "}"
+    elif isinstance(value, list):
+        yield "["
+        for v in value:
+            yield from comparable_text(v)
+            yield ","
+        yield "]"
+    elif isinstance(value, RawNumber):
+        try:
+            d = Decimal(str(value))
+            yield f"n{_plain(d)};"
+        except InvalidOperation:
+            yield f"n{value};"
+    elif isinstance(value, bool) or value is None:
+        yield json.dumps(value)
+    else:
+        yield json.dumps(value)
+
+
+def _plain(d: Decimal) -> str:
+    """A number of any length: sign, digits without trailing zeros, exponent."""
+    sign, digits, exponent = d.as_tuple()
+    if not isinstance(exponent, int):
+        return str(d)
+    text = "".join(map(str, digits)).lstrip("0")
+    cut = text.rstrip("0")
+    return f"{sign},{cut},{exponent + len(text) - len(cut)}" if cut else "0"
