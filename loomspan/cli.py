@@ -10,7 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.operators import audit, diff, insight, lineage
+from loomspan.functions import render
+from loomspan.operators import audit, diff, insight, lineage, profile
 from loomspan.sources import readers, sinks
 
 
@@ -32,6 +33,9 @@ def main(argv: list[str] | None = None) -> int:
     check = sub.add_parser("audit", help="severity and issues of stored statements")
     check.add_argument("--input", required=True)
     check.add_argument("--fail-on-red", action="store_true")
+    check.add_argument("--fail-on-warning", action="store_true")
+    check.add_argument("--markdown", help="write a report to this file")
+    check.add_argument("--top", type=int, default=25, help="statements listed in the report")
     for s in (one, many):
         s.add_argument("--schema-file")
     for s in (one, many, look, check):
@@ -56,7 +60,13 @@ def main(argv: list[str] | None = None) -> int:
         done.write.mode("overwrite").json(args.output)
         counts = {r["severity"]: r["n_statements"] for r in audit.severity_counts(done).collect()}
         print(json.dumps(counts, sort_keys=True))
-        return int(args.fail_on_red and counts.get("RED", 0) > 0)
+        if args.markdown:
+            done = spark.read.schema(done.schema).json(args.output)
+            issues = [tuple(r) for r in audit.issue_counts(done).orderBy("issue").collect()]  # a row a kind
+            reds = [tuple(r) for r in audit.red_statements(done).orderBy("stmt").limit(args.top).collect()]
+            risky = [tuple(r) for r in audit.risky_statements(done, args.top).collect()]
+            Path(args.markdown).write_text(render.audit_markdown("Audit", counts, issues, reds, risky), encoding="utf-8")
+        return int(args.fail_on_red and counts.get("RED", 0) > 0 or args.fail_on_warning and counts.get("YELLOW", 0) > 0)
     catalog = readers.column_metadata(spark, args.schema_file) if args.schema_file else None
     if args.command == "corpus":
         tasks = readers.task_directory(spark, args.input)
@@ -68,10 +78,11 @@ def main(argv: list[str] | None = None) -> int:
     if args.task_name:
         tasks = tasks.withColumn("task_name", F.lit(args.task_name))
     rows = lineage.analyze(tasks, catalog).where("status <> 'other'").collect()  # the statements of one file
+    profiles = {r["stmt"]: r["profile"] for r in profile.profiles(lineage.analyze(tasks, catalog)).collect()}
     good = [r for r in rows if r["status"] == "ok"]
     for r in good:
         folder = Path(args.output) / (f"{r['task_id']}_{r['stmt_no']}" if len(rows) > 1 else "")
-        sinks.write_statement(r, str(folder))
+        sinks.write_statement(r, str(folder), profiles.get(r["stmt"]))
         if args.html:
             sinks.write_html(r, str(folder / "report.html"))
     for r in rows:

@@ -116,3 +116,16 @@ def html(d: dict) -> str:
     rows = [{"name": l["name"], "risk": risk(d, l), "sources": [f"{s['scope']}.{s['column']} ({s['transform']})" for s in l["sources"]]} for l in d["lineage"]]
     data = json.dumps(rows, ensure_ascii=False).replace("<", "\\u003c").replace("://", ":\\/\\/")
     return _PAGE.format(title=escape.escape(d["stmt"]), about=escape.escape(f"{d['stmt_kind']} into {d['target_table']} from {', '.join(d['source_tables'])}"), data=data)
+
+
+def audit_markdown(title: str, severities: dict[str, int], issues: list[tuple], reds: list[tuple], risky: list[tuple]) -> str:
+    """An audit's report: statements by severity, issues with their counts, the red statements with the class
+    of their fault, and the yellow ones whose warnings put most in doubt."""
+    cell = lambda x: str("" if x is None else x).replace("|", "\\|").replace("\n", " ")
+    table = lambda head, rows: ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(map(cell, r)) + " |" for r in rows), ""] if rows else ["None.", ""]
+    total = sum(severities.values())
+    share = f"{severities.get('RED', 0) / total:.1%} of {total} statements are red." if total else "No statements."
+    out = [f"# {title}", "", share, "", "## Severity", "", *table(["severity", "statements"], [(k, severities.get(k, 0)) for k in ("RED", "YELLOW", "GREEN")])]
+    out += ["## Issues", "", *table(["issue", "statements", "times"], issues), "## Red", "", *table(["statement", "target", "class", "issues"], reds)]
+    out += ["## Risky", "", *table(["statement", "weight", "kinds of warnings"], risky)]
+    return "\n".join(out)

@@ -3,9 +3,9 @@
 import pytest
 
 from loomspan.operators import corpus_queries, queries
-from loomspan.plans import executed, golden
+from loomspan.plans import executed, golden, golden_more
 
-PARTS = (queries, golden, corpus_queries, executed)
+PARTS = (queries, golden, golden_more, corpus_queries, executed)
 SQL = [(p, n) for p in PARTS for n in p.QUERIES if n in p.SQL]
 ROWS = [(p, n) for p in PARTS for n in p.QUERIES if n not in p.SQL]
 

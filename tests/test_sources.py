@@ -1,6 +1,7 @@
 """Sources, sinks, rendering, streaming and the command line."""
 
 import json
+from datetime import datetime
 
 import pytest
 
@@ -117,13 +118,40 @@ def test_stream(spark, tasks, tmp_path):
     assert [r["stmt"] for r in spark.read.parquet(str(tmp_path / "o")).collect()] == ["x"]
 
 
+def test_stream_of_orphan_references(spark, tmp_path):
+    at = lambda d: datetime(2025, 1, d)
+    columns = "edge_id bigint, stmt_id bigint, from_scope string, from_column string, seen_at timestamp"
+    rows = [(1, 1, "db.t", "a", at(2)), (1, 1, "db.t", "a", at(2)), (2, 1, "x.db.T", "`A`", at(4)), (3, 1, "db.t", "b", at(2)), (4, 1, "cte:c", "b", at(2)), (5, 1, "CONSTANT", "1", at(2)), (6, 1, "db.t", "a", at(1)), (9, 1, "db.t", "zz", at(20))]
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(str(tmp_path / "e"))
+    catalog = spark.createDataFrame([("db.t", "a", at(2), at(4))], "table_key string, name string, created_at timestamp, deleted_at timestamp")
+    stream = spark.readStream.schema(columns).parquet(str(tmp_path / "e"))
+    q = watch.orphan_references(stream, catalog).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.read.schema("window_start timestamp, table_name string, reason string, n_edges bigint").parquet(str(tmp_path / "o")).collect()
+    assert sorted((r["reason"], r["n_edges"]) for r in got) == [("deleted", 1), ("late", 1), ("missing", 1)]
+
+
+def test_running_severity(spark, tasks, tmp_path):
+    watch.running_severity(watch.analysed_stream(spark, tasks), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination(120)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [("YELLOW", 1, 2)]  # count(*) leaves a star
+
+
+def test_one_task(spark, tmp_path):
+    good = sinks.run_task(spark, {"task_name": "x", "sql": SQL + "; insert into"}, str(tmp_path / "x"))
+    assert good["success"] and good["statements"] == ["x#0"] and "x#1" in good["error"]
+    assert (tmp_path / "x" / "0" / "profile.json").exists()
+    assert sinks.run_task(spark, {"sql": " "}, str(tmp_path / "y")) == {"success": False, "error": "no sql", "statements": []}
+    assert not sinks.run_task(spark, {"task_name": "z", "sql": "insert into"}, str(tmp_path / "z"))["success"]
+
+
 def test_command_line(spark, tasks, tmp_path, capsys):
     sql = tmp_path / "q.sql"
     sql.write_text(f"{SQL};\n{SQL} having count(*) > 1")
     assert cli.main(["parse", "--sql-file", str(sql), "--output", str(tmp_path / "p"), "--html"]) == 0
     assert (tmp_path / "p" / "q_1" / "report.html").exists()
     assert cli.main(["corpus", "--input", tasks, "--output", str(tmp_path / "s")]) == 0
-    assert cli.main(["audit", "--input", str(tmp_path / "s"), "--output", str(tmp_path / "a"), "--fail-on-red"]) == 0
+    assert cli.main(["audit", "--input", str(tmp_path / "s"), "--output", str(tmp_path / "a"), "--fail-on-red", "--markdown", str(tmp_path / "a.md")]) == 0
+    assert "0.0% of 1 statements are red" in (tmp_path / "a.md").read_text()
     assert cli.main(["insight", "--input", str(tmp_path / "s"), "--output", str(tmp_path / "i")]) == 0
     sql.write_text("insert into")
     assert cli.main(["parse", "--sql-file", str(sql), "--output", str(tmp_path / "bad")]) == 1
