@@ -88,17 +88,38 @@ def comparable(value):
 def digest(text: str | None) -> bytes | None:
     """128 bits of a text's JSON value, the same for texts of one value in the sense of `comparable`; None if
     it is not JSON."""
-    ok, value = parse(text)
-    if not ok:
+    if text is None:
+        return None
+    try:
+        if "\\u0000" in text:
+            own = "\x01" + "".join(comparable_text(json.loads(text, parse_float=RawNumber, parse_int=RawNumber, parse_constant=_refuse)))
+        else:
+            # No string of this text can hold U+0000, so it marks numbers, and the value is written out at once.
+            own = json.dumps(json.loads(text, parse_float=_marked, parse_int=_marked, parse_constant=_refuse), sort_keys=True)
+    except (ValueError, RecursionError):
         return None
-    h = hashlib.blake2b(digest_size=16)
-    _feed(comparable_text(value), h)
-    return h.digest()
+    return hashlib.blake2b(own.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _feed(parts, h) -> None:
-    for p in parts:
-        h.update(p.encode("utf-8", "surrogatepass"))
+def _marked(number: str) -> str:
+    return "\x00" + plain_number(number)
+
+
+def plain_number(number: str) -> str:
+    """One spelling for each number: sign, digits without zeros at either end, exponent."""
+    if number.isdigit() or number[1:].isdigit():
+        sign, digits, exponent = int(number[0] == "-"), number.lstrip("-"), 0
+    else:
+        try:
+            d = Decimal(number)
+        except InvalidOperation:
+            return number
+        if not d.is_finite():
+            return number
+        sign, parts, exponent = d.as_tuple()
+        digits = "".join(map(str, parts))
+    cut = digits.strip("0")
+    return f"{sign},{cut},{exponent + len(digits) - len(digits.rstrip('0'))}" if cut else "0"
 
 
 def comparable_text(value):
@@ -117,22 +138,8 @@ def comparable_text(value):
             yield ","
         yield "]"
     elif isinstance(value, RawNumber):
-        try:
-            d = Decimal(str(value))
-            yield f"n{_plain(d)};"
-        except InvalidOperation:
-            yield f"n{value};"
+        yield f"n{plain_number(str(value))};"
     elif isinstance(value, bool) or value is None:
         yield json.dumps(value)
     else:
         yield json.dumps(value)
-
-
-def _plain(d: Decimal) -> str:
-    """A number of any length: sign, digits without trailing zeros, exponent."""
-    sign, digits, exponent = d.as_tuple()
-    if not isinstance(exponent, int):
-        return str(d)
-    text = "".join(map(str, digits)).lstrip("0")
-    cut = text.rstrip("0")
-    return f"{sign},{cut},{exponent + len(text) - len(cut)}" if cut else "0"

@@ -46,6 +46,15 @@ def _sources() -> Column:
     return F.flatten(F.transform("lineage", lambda l: F.transform(l["sources"], lambda x: F.struct(l["name"].alias("name"), x["scope"].alias("table"), x["column"].alias("column")))))
 
 
+def _parts(a: DataFrame) -> DataFrame:
+    """The analysed statements with what objects, links and findings share, made once a row."""
+    out = a.where("status = 'ok'")
+    doing = F.transform(_doing(), lambda s: F.struct(s["scope_id"].alias("scope_id"), F.concat_ws(",", profile.operations(s)).alias("operations")))
+    for name, value in (("p_conditions", profile.condition_items()), ("p_sources", _sources()), ("p_root", _root_columns()), ("p_doing", doing), ("p_named", F.transform("scopes", lambda s: s["scope_id"]))):
+        out = once_per_row(out, name, value)
+    return out
+
+
 def _object(object_id: Column, kind: str, name: Column, detail: Column) -> Column:
     return F.struct(object_id.alias("object_id"), F.lit(kind).alias("kind"), name.alias("name"), detail.alias("detail"))
 
@@ -53,16 +62,16 @@ def _object(object_id: Column, kind: str, name: Column, detail: Column) -> Colum
 def _object_items() -> Column:
     c = F.col
     condition = lambda x, i: _object(_id("rule", x["scope_id"], i.cast("string")), "rule", x["expression"], x["shape"])
-    physical = F.array_distinct(F.concat(F.transform(_sources(), lambda x: F.struct(x["table"].alias("scope"), x["column"].alias("column"))), F.flatten(F.transform(profile.condition_items(), lambda x: x["physical"]))))
+    physical = F.array_distinct(F.concat(F.transform("p_sources", lambda x: F.struct(x["table"].alias("scope"), x["column"].alias("column"))), F.flatten(F.transform("p_conditions", lambda x: x["physical"]))))
     every = F.concat(
         F.transform("scopes", lambda s: _object(_id("scope", s["scope_id"]), "scope", s["scope_id"], lineage.role(s))),
-        F.transform(_root_columns(), lambda x: _object(_id("column", x["name"]), "column", x["name"], field_role(x["name"]))),
+        F.transform("p_root", lambda x: _object(_id("column", x["name"]), "column", x["name"], field_role(x["name"]))),
         F.transform(c("source_tables"), lambda t: _object(_id("table", t), "table", t, F.lit("input"))),
         F.array(_object(_id("table", "target_table"), "table", c("target_table"), F.lit("output"))),
         F.transform(physical, lambda x: _object(_id("physical_column", x["scope"], x["column"]), "physical_column", F.concat_ws(".", x["scope"], x["column"]), field_role(x["column"]))),
-        F.transform(profile.condition_items(), condition),
+        F.transform("p_conditions", condition),
         # A section for each scope that does something, in the order of the scopes.
-        F.transform(_doing(), lambda s: _object(_id("section", s["scope_id"]), "section", s["scope_id"], F.concat_ws(",", profile.operations(s)))),
+        F.transform("p_doing", lambda s: _object(_id("section", s["scope_id"]), "section", s["scope_id"], s["operations"])),
         F.transform("warnings", lambda w: _object(_id("diagnostic", w["type"], w["scope_id"]), "diagnostic", w["type"], w["scope_id"])),
     )
     return F.array_distinct(every)
@@ -77,19 +86,19 @@ def _link(a: Column, b: Column, kind: str) -> Column:
 
 
 def _link_items() -> Column:
-    named = F.transform("scopes", lambda s: s["scope_id"])
+    named = F.col("p_named")
     node = lambda n: F.when(F.array_contains(named, n), _id("scope", n)).otherwise(_id("table", n))
     rule = lambda x, i: _id("rule", x["scope_id"], i.cast("string"))
-    items = profile.condition_items()
+    items = F.col("p_conditions")
     fed = F.filter("graph_edges", lambda e: e["from_node"].isNotNull() & e["to_node"].isNotNull())
     every = F.concat(
         F.transform(fed, lambda e: _link(node(e["from_node"]), node(e["to_node"]), "feeds")),
-        F.transform(_root_columns(), lambda c: _link(F.lit("scope:ROOT"), _id("column", c["name"]), "produces")),
-        F.transform(_sources(), lambda x: _link(_id("column", x["name"]), _id("table", x["table"]), "derived_from")),
-        F.transform(_sources(), lambda x: _link(_id("column", x["name"]), _id("physical_column", x["table"], x["column"]), "derived_from_column")),
+        F.transform("p_root", lambda c: _link(F.lit("scope:ROOT"), _id("column", c["name"]), "produces")),
+        F.transform("p_sources", lambda x: _link(_id("column", x["name"]), _id("table", x["table"]), "derived_from")),
+        F.transform("p_sources", lambda x: _link(_id("column", x["name"]), _id("physical_column", x["table"], x["column"]), "derived_from_column")),
         F.flatten(F.transform(items, lambda x, i: F.transform(x["physical"], lambda r: _link(rule(x, i), _id("physical_column", r["scope"], r["column"]), "uses_field")))),
         F.transform(items, lambda x, i: _link(rule(x, i), _id("scope", x["scope_id"]), "implemented_by")),
-        F.transform(_doing(), lambda s: _link(_id("section", s["scope_id"]), _id("scope", s["scope_id"]), "references")),
+        F.transform("p_doing", lambda s: _link(_id("section", s["scope_id"]), _id("scope", s["scope_id"]), "references")),
         F.transform(F.transform(items, lambda x, i: F.struct(x["scope_id"].alias("s"), rule(x, i).alias("r"))), lambda x: _link(_id("section", x["s"]), x["r"], "references")),
         F.transform(F.filter("warnings", lambda w: F.array_contains(named, w["scope_id"])), lambda w: _link(_id("diagnostic", w["type"], w["scope_id"]), _id("scope", w["scope_id"]), "affects")),
     )
@@ -99,13 +108,13 @@ def _link_items() -> Column:
 def objects(a: DataFrame) -> DataFrame:
     """stmt, object_id, kind, name, detail: scopes, result columns, tables, physical columns,
     conditions, sections and diagnostics."""
-    return a.where("status = 'ok'").select("stmt", F.explode(_object_items()).alias("o")).select("stmt", "o.*")
+    return _parts(a).select("stmt", F.explode(_object_items()).alias("o")).select("stmt", "o.*")
 
 
 def links(a: DataFrame) -> DataFrame:
     """stmt, from_id, to_id, kind: feeds, produces, derived_from, derived_from_column, uses_field,
     implemented_by, references, affects."""
-    return a.where("status = 'ok'").select("stmt", F.explode(_link_items()).alias("l")).select("stmt", "l.*")
+    return _parts(a).select("stmt", F.explode(_link_items()).alias("l")).select("stmt", "l.*")
 
 
 def link_counts(a: DataFrame) -> DataFrame:
@@ -128,11 +137,10 @@ def task_risk(a: DataFrame) -> DataFrame:
 
 def findings(a: DataFrame) -> DataFrame:
     """One row per failed check of a statement and its objects and links: stmt, code, subject."""
-    ok = a.where("status = 'ok'")
-    ok = once_per_row(once_per_row(ok, "objects", _object_items()), "links", _link_items())
-    ids = F.transform("objects", lambda o: o["object_id"])
-    named = F.transform("scopes", lambda s: s["scope_id"])
-    root = F.transform(_root_columns(), lambda c: F.concat_ws("|", c["name"], c["merge_branch"]))
+    ok = once_per_row(once_per_row(_parts(a), "objects", _object_items()), "links", _link_items())
+    ok = once_per_row(ok, "ids", F.transform("objects", lambda o: o["object_id"]))
+    ids, named = F.col("ids"), F.col("p_named")
+    root = F.transform("p_root", lambda c: F.concat_ws("|", c["name"], c["merge_branch"]))
     fed = F.transform("scopes", lambda s: F.array_except(s["direct_tables"], s["tables"]))
     ends = lambda x: x["from_id"].rlike("^(table|scope):") & x["to_id"].rlike("^scope:")
     used = F.array_distinct(F.flatten(F.transform("scopes", lambda s: s["depends_on"])))
@@ -148,7 +156,7 @@ def findings(a: DataFrame) -> DataFrame:
         "column_without_name": F.transform(F.filter("scopes", lambda s: F.exists(s["columns"], lambda c: F.coalesce(c["name"], F.lit("")) == "")), lambda s: s["scope_id"]),
         "join_without_right": F.transform(F.filter("scopes", lambda s: F.exists(s["joins"], lambda j: j["right_scope"].isNull())), lambda s: s["scope_id"]),
         "unknown_transform": F.array_distinct(F.filter(F.flatten(F.transform("scopes", lambda s: F.transform(s["columns"], lambda c: c["transform"]))), lambda t: ~F.coalesce(t.isin(*lineage.walk.ORDER), F.lit(False)))),
-        "lineage_without_column": F.array_except(F.transform("lineage", lambda l: l["name"]), F.transform(_root_columns(), lambda c: F.coalesce(c["name"], F.lit("")))),
+        "lineage_without_column": F.array_except(F.transform("lineage", lambda l: l["name"]), F.transform("p_root", lambda c: F.coalesce(c["name"], F.lit("")))),
         "output_column_count_mismatch": F.when(F.size(F.array_distinct(F.transform("lineage", lambda l: l["name"]))) != F.size(F.filter("objects", lambda o: o["kind"] == "column")), F.array(F.lit("ROOT"))),
         "duplicate_output_column_assignment": F.filter(F.array_distinct(root), lambda n: F.size(F.filter(root, lambda m: m == n)) > 1),
         "scope_object_count_mismatch": F.when(F.size(F.array_distinct(named)) != F.size(F.filter("objects", lambda o: o["kind"] == "scope")), F.array(F.lit("scopes"))),
@@ -158,10 +166,10 @@ def findings(a: DataFrame) -> DataFrame:
         "invalid_feeds_link": F.transform(F.filter(kind("feeds"), lambda l: ~F.coalesce(ends(l), F.lit(False))), lambda l: F.concat_ws(" -> ", l["from_id"], l["to_id"])),
         "rule_scope_missing": F.array_except(last(kind("implemented_by")), ids),
         "rule_field_missing": F.array_except(last(kind("uses_field")), ids),
-        "rule_condition_missing": F.transform(F.filter(profile.condition_items(), lambda x: F.coalesce(x["expression"], F.lit("")) == ""), lambda x: x["scope_id"]),
+        "rule_condition_missing": F.transform(F.filter("p_conditions", lambda x: F.coalesce(x["expression"], F.lit("")) == ""), lambda x: x["scope_id"]),
         "section_reference_missing": F.array_except(last(kind("references")), ids),
-        "column_table_link_missing": F.array_except(F.transform(_sources(), lambda x: _id("column", x["name"])), first(kind("derived_from"))),
-        "column_source_link_missing": F.array_except(F.transform(_sources(), lambda x: _id("physical_column", x["table"], x["column"])), last(kind("derived_from_column"))),
+        "column_table_link_missing": F.array_except(F.transform("p_sources", lambda x: _id("column", x["name"])), first(kind("derived_from"))),
+        "column_source_link_missing": F.array_except(F.transform("p_sources", lambda x: _id("physical_column", x["table"], x["column"])), last(kind("derived_from_column"))),
         "trace_incomplete_reason_missing": F.transform(F.filter("lineage", lambda l: ~l["complete"] & (F.size(l["reasons"]) == 0)), lambda l: l["name"]),
         "direct_table_not_physical_source": F.flatten(fed),
         "scope_table_metadata_missing": F.array_except(F.array_distinct(F.flatten(F.transform("scopes", lambda s: s["tables"]))), F.concat("source_tables", F.array(F.coalesce("target_table", F.lit(""))))),

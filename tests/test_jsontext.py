@@ -10,7 +10,7 @@ def value(r, depth=0):
     if pick == 1:
         return r.choice(["true", "false", "null"])
     if pick < 5:
-        return r.choice(['"a"', '"1"', '"true"', '"\\u0061"', '""', '"\\ud800"', '"é"'])
+        return r.choice(['"a"', '"1"', '"true"', '"\\u0061"', '""', '"\\ud800"', '"é"', '"\\u00001"', '"\\u00000,1,0"'])
     if pick < 7:
         return "{" + ",".join(f'"{k}": {value(r, depth + 1)}' for k in r.sample("abc", r.randrange(3))) + "}"
     return "[" + ", ".join(value(r, depth + 1) for _ in range(r.randrange(3))) + "]"
