@@ -32,11 +32,8 @@ SQL = {
 }
 
 
-def analysed_names(spark: SparkSession, sf_dir: str, name: str, text: str) -> list[str]:
-    """The result columns of a text by its analysis."""
-    known: dict[str, list[str]] = {}
-    for t in _TABLES:
-        known[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet").columns
+def analysed_names(known: dict[str, list[str]], name: str, text: str) -> list[str]:
+    """The result columns of a text by its analysis, with the columns of the tables."""
     record = plan.facts(name, f"INSERT INTO run.{name} {text}", known.get)[0]
     if record["status"] != "ok":
         raise ValueError(f"{name}: {record['error']}")
@@ -46,9 +43,10 @@ def analysed_names(spark: SparkSession, sf_dir: str, name: str, text: str) -> li
 def _run(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = SPARK.get(name, SQL[name])
-        for t in _TABLES:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(text).toDF(*analysed_names(spark, sf_dir, name, text))
+        tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES}
+        for t, df in tables.items():
+            df.createOrReplaceTempView(t)
+        return spark.sql(text).toDF(*analysed_names({t: df.columns for t, df in tables.items()}, name, text))
 
     return run
 
